@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, consensus, groups
+from millrace.llm import bpe, consensus, groups, leak
 from millrace.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,10 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.token_ids(table(spark, d, "documents"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leak.leaks(table(spark, d, "documents"), table(spark, d, "heldout_items"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p2_found": p2_found,
@@ -53,6 +57,7 @@ def queries() -> dict[str, Query]:
         "p2_agreement": p2_agreement,
         "p4_found": p4_found,
         "p6_ids": p6_ids,
+        "p7_found": p7_found,
     }
 
 
