@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, consensus, groups, leak
+from millrace.llm import bpe, consensus, groups, leak, stuffing
 from millrace.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,10 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leak.leaks(table(spark, d, "documents"), table(spark, d, "heldout_items"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return stuffing.stuffed_pages(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p2_found": p2_found,
@@ -58,6 +62,7 @@ def queries() -> dict[str, Query]:
         "p4_found": p4_found,
         "p6_ids": p6_ids,
         "p7_found": p7_found,
+        "p8_found": p8_found,
     }
 
 
