@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, consensus, groups, leak, stuffing
+from millrace.llm import bpe, consensus, groups, leak, names, stuffing
 from millrace.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,10 @@ select n_items, n as n_votes, round(o / n, 9) as observed, round(2 * y * (n - y)
 """
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.linked_records(table(spark, d, "company_records"), table(spark, d, "match_pairs"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return groups.match_groups(table(spark, d, "match_pairs"))
 
@@ -59,6 +63,7 @@ def queries() -> dict[str, Query]:
         "p2_found": p2_found,
         "p2_annotators": p2_annotators,
         "p2_agreement": p2_agreement,
+        "p3_found": p3_found,
         "p4_found": p4_found,
         "p6_ids": p6_ids,
         "p7_found": p7_found,
