@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, consensus, groups, leak, names, stuffing
+from millrace.llm import bpe, consensus, groups, leak, names, pairs, stuffing
 from millrace.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defects(table(spark, d, "batch_results"), table(spark, d, "eval_questions"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return consensus.sample_labels(table(spark, d, "ensemble_results"))
 
@@ -60,6 +64,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "p1_found": p1_found,
         "p2_found": p2_found,
         "p2_annotators": p2_annotators,
         "p2_agreement": p2_agreement,
