@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, consensus, groups, leak, names, pairs, stuffing
+from millrace.llm import addresses, bpe, consensus, groups, leak, names, pairs, stuffing
 from millrace.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return groups.match_groups(table(spark, d, "match_pairs"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return addresses.same_place(table(spark, d, "receipt_extractions"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.token_ids(table(spark, d, "documents"))
 
@@ -70,6 +74,7 @@ def queries() -> dict[str, Query]:
         "p2_agreement": p2_agreement,
         "p3_found": p3_found,
         "p4_found": p4_found,
+        "p5_found": p5_found,
         "p6_ids": p6_ids,
         "p7_found": p7_found,
         "p8_found": p8_found,

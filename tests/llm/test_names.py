@@ -46,7 +46,7 @@ RECORDS = [
     ("r2", "PALUNAST, GORIM BROS - OAKENRIDGE L.L.C."),
     ("r2", "PALUNAST, GORIM BROS - OAKENRIDGE L.L.C."),
     ("r3", "Gorim Palunast Brothers of Vexley LLC"),
-    ("r4", "Gorimpalunsat Brothers - Oakenridge"),
+    ("r4", "Goorimpalunast Brothers - Oakenridge"),
     ("r5", "Zubekir & Tohamand Energy Fund I"),
     ("r6", "Zubekir & Tohamand Energy Fund II"),
     ("r7", "Zubek. + Tohamamd Enrgy Fund 2"),
