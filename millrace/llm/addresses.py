@@ -19,8 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.similarity import lcs_lengths
 from millrace.llm.groups import components
-from millrace.llm.names import lcs_lengths
 from millrace.storage import stage
 
 #: Localities and street entries kept at each step of the search.

@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.similarity import lcs_length, lcs_lengths
 from millrace.llm.groups import components
 from millrace.storage import stage
 
@@ -59,56 +60,8 @@ PLACEHOLDERS = ("", "-", "--", "n/a", "na", "none", "null", "unknown", "?", ".",
 READING = "kind string, apart string, one string, two string, first string, middle string"
 
 
-def lcs_lengths(a: list[str], b: list[str]) -> np.ndarray:
-    """Lengths of longest common subsequences of a[i] and b[i], bit-parallel for words of up to 63 letters."""
-    n = len(a)
-    out = np.zeros(n, np.int64)
-    if not n:
-        return out
-    swap = [(x, y) if len(x) <= len(y) else (y, x) for x, y in zip(a, b)]
-    long = np.array([len(x) > 63 or len(y) > 400 for x, y in swap])
-    for i in np.flatnonzero(long):
-        row = [0] * (len(swap[i][0]) + 1)
-        for c in swap[i][1]:
-            last = 0
-            for j, d in enumerate(swap[i][0]):
-                last, row[j + 1] = row[j + 1], last + 1 if c == d else max(row[j + 1], row[j])
-        out[i] = row[-1]
-    for begin in range(0, n, 20_000):
-        at = np.flatnonzero(~long[begin : begin + 20_000]) + begin
-        if not len(at):
-            continue
-        x, y = (_codes([swap[i][k] for i in at]) for k in (0, 1))
-        who = np.arange(len(at))
-        masks = np.zeros((len(at), 64), np.uint64)
-        for j in range(x.shape[1]):
-            masks[who, x[:, j]] |= np.uint64(1 << j)
-        masks[:, 0] = 0
-        v = np.full(len(at), ~np.uint64(0))
-        for j in range(y.shape[1]):
-            u = v & masks[who, y[:, j]]
-            v = (v + u) | (v - u)
-        out[at] = np.bitwise_count(~v)
-    return out
-
-
-def _codes(words: list[str]) -> np.ndarray:
-    """Letters as numbers below 64 (0: none). Letters that share a number are so rare that verification by ratio doesn't mind."""
-    size = max(map(len, words), default=0)
-    raw = np.array(words, dtype=f"U{max(size, 1)}").view(np.uint32).reshape(len(words), max(size, 1))
-    return np.where(raw == 0, 0, raw % 63 + 1).astype(np.int64)
-
-
 def _ratio(a: str, b: str) -> float:
-    """The LCS ratio of one pair, bit-parallel over a Python number."""
-    masks: dict[str, int] = {}
-    for j, c in enumerate(a):
-        masks[c] = masks.get(c, 0) | 1 << j
-    all_bits = v = (1 << len(a)) - 1
-    for c in b:
-        u = v & masks.get(c, 0)
-        v = (v + u | v - u) & all_bits
-    return 2 * (len(a) - v.bit_count()) / max(1, len(a) + len(b))
+    return 2 * lcs_length(a, b) / max(1, len(a) + len(b))
 
 
 _near: dict[str, str] = {}
