@@ -147,3 +147,7 @@ def strip_marked_lines(c: str | Column) -> Column:
 
 def any_of(conditions: list[Column]) -> Column:
     return functools.reduce(lambda a, b: a | b, conditions)
+
+
+def array_text(c: Column, sep: str = " ") -> Column:
+    return F.array_join(c, sep)
