@@ -1,0 +1,54 @@
+"""A tree of agents worked through in rounds: ready agents answer, spawn children or stop; parents wait for all of their children."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from millrace.storage import stage
+
+AGENT = "agent_id string, parent string, depth int, status string, finding bigint, started int, ended int"
+
+
+def run_rounds(roots: DataFrame, respond: Callable[[DataFrame], DataFrame], max_depth: int = 3, max_rounds: int = 15) -> DataFrame:
+    """(agent_id, parent, depth, status, finding, started, ended) after the last round.
+
+    roots: (agent_id). respond: ready agents to (agent_id, finding, children array of ids), null or empty children: stop. An agent that
+    spawns waits until every child is done, then is done with its finding plus theirs. At the greatest depth, children are not
+    spawned. An agent without a response has failed, which counts as done with no finding. Agents still open after the last round are
+    closed from the deepest upwards, with what is there. Ids must be unique over the whole tree. Every round is one staged snapshot.
+    """
+    state = stage(roots.select("agent_id", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), F.lit("pending").alias("status"), F.lit(0).cast("long").alias("finding"), F.lit(1).alias("started"), F.lit(None).cast("int").alias("ended")), "agents0")
+    for n in range(1, max_rounds + 1):
+        said = respond(state.where("status = 'pending'").select("agent_id", "depth"))
+        said = said.select("agent_id", F.col("finding").alias("said"), F.coalesce("children", F.array()).alias("children"), F.lit(True).alias("answered"))
+        x = state.join(said, "agent_id", "left")
+        spawns = (F.size("children") > 0) & (F.col("depth") < max_depth)
+        pending = F.col("status") == "pending"
+        status = F.when(~pending, F.col("status")).when(F.col("answered").isNull(), "failed").when(spawns, "waiting").otherwise("done")
+        x = x.withColumns({"finding": F.when(pending, F.coalesce("said", F.lit(0))).otherwise(F.col("finding")), "was": F.col("status"), "status": status})
+        x = x.withColumn("ended", F.when((F.col("was") == "pending") & F.col("status").isin("done", "failed"), F.lit(n)).otherwise(F.col("ended")))
+        x = stage(x, f"answers{n}")
+        born = x.where("was = 'pending' and status = 'waiting'").select(F.explode("children").alias("agent_id"), F.col("agent_id").alias("parent"), (F.col("depth") + 1).alias("depth"))
+        born = born.withColumns({"status": F.lit("pending"), "finding": F.lit(0).cast("long"), "started": F.lit(n + 1), "ended": F.lit(None).cast("int")})
+        state = stage(x.select("agent_id", "parent", "depth", "status", "finding", "started", "ended").unionByName(born), f"agents{n}")
+        state = settled(state, n)
+        if state.where("status in ('pending', 'waiting')").isEmpty():
+            return state
+    closed = F.when(F.col("status").isin("pending", "waiting"), "closed").otherwise(F.col("status"))
+    return state.withColumn("status", closed)
+
+
+def settled(state: DataFrame, n: int) -> DataFrame:
+    """Waiting parents of which every child is done are done, from the deepest upwards, until none changes."""
+    while True:
+        over = F.col("status").isin("done", "failed")
+        children = state.where("parent is not null").groupBy(F.col("parent").alias("agent_id")).agg(F.bool_and(over).alias("all_over"), F.sum("finding").alias("theirs"))
+        x = state.join(children, "agent_id", "left").withColumn("rises", (F.col("status") == "waiting") & F.coalesce("all_over", F.lit(False)))
+        x = stage(x, "rising")
+        if x.where("rises").isEmpty():
+            return state
+        x = x.withColumns({"finding": F.when(F.col("rises"), F.col("finding") + F.col("theirs")).otherwise(F.col("finding")), "status": F.when(F.col("rises"), "done").otherwise(F.col("status")), "ended": F.when(F.col("rises"), F.lit(n)).otherwise(F.col("ended"))})
+        state = x.select("agent_id", "parent", "depth", "status", "finding", "started", "ended")

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.functions import code
 from millrace.functions import text as T
-from millrace.operators import entities, metrics, ordinals, requests, trees, vectors, voting
+from millrace.operators import agents, entities, metrics, ordinals, requests, trees, vectors, voting
 from millrace.operators.metrics import share
 from millrace.storage import table
 from millrace.streaming import rounds
@@ -492,6 +493,13 @@ def corpus_statistics(spark: SparkSession, d: str) -> DataFrame:
     return x.agg(F.count("*").alias("documents"), F.count_distinct("text").alias("texts"), F.count_distinct("source").alias("sources"), F.count_if(F.col("text").isNull() | (F.col("text") == "")).alias("without_text"))
 
 
+@query()
+def code_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Fenced code of all documents without comments and surplus white space."""
+    x = table(spark, d, "documents").select("doc_id", F.posexplode(code.fenced("text")).alias("pos", "b"))
+    return x.select("doc_id", "pos", "b.language", code.preprocess(F.col("b.code")).alias("code"))
+
+
 @query(
     """with g as (select text, count(*) as n, min(doc_id) as kept from documents where text <> '' group by 1)
     select doc_id, kept from documents join g using (text) where n > 1 and doc_id <> kept"""
@@ -566,6 +574,26 @@ def query_tree(spark: SparkSession, d: str) -> DataFrame:
     return trees.expand(roots, step, 3).select("node", "parent", "depth")
 
 
+@query(
+    f"""with recursive {_EDGES}, k as (select parent, count(*) as n from t group by 1),
+    p as (select 'r' || r_regionkey as agent_id, null::varchar as parent, 0 as depth, ['r' || r_regionkey] as path from region
+      union all select t.child, p.agent_id, p.depth + 1, list_append(p.path, t.child) from p join t on t.parent = p.agent_id where p.depth < 2),
+    f as (select p.agent_id, p.parent, p.depth, coalesce(k.n, 0) as own from p left join k on k.parent = p.agent_id),
+    a as (select unnest(path) as anc, agent_id from p)
+    select agent_id, f.parent, f.depth, 'done' as status, (select sum(g.own) from a join f g on g.agent_id = a.agent_id where a.anc = f.agent_id)::bigint as finding from f"""
+)
+def agent_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """Regions ask their nations, nations their customers; each reports how many it has below, and parents add up."""
+    edges = _places(spark, d)
+    below = edges.groupBy(F.col("parent").alias("agent_id")).agg(F.count("*").alias("n"), F.array_sort(F.collect_set("child")).alias("children"))
+
+    def respond(ready: DataFrame) -> DataFrame:
+        return ready.join(below, "agent_id", "left").select("agent_id", F.coalesce("n", F.lit(0)).alias("finding"), "children")
+
+    roots = table(spark, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("agent_id"))
+    return agents.run_rounds(roots, respond, max_depth=2).select("agent_id", "parent", "depth", "status", "finding")
+
+
 @query("select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
     return rounds.drain(rounds.event_windows(rounds.table_stream(spark, f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))), "windows", "complete")

@@ -1,0 +1,30 @@
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.functions import code
+from millrace.operators import agents
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("a; // x\nb", "a; \nb"), ('s = "// no"; /* y\nz */ t', 's = "// no"; \n t'), ("'\\'' // q", "'\\'' "), ("/* open\nend", "\n"), ("", ""), ('"a\\"//b" /**/c', '"a\\"//b" c')],
+)
+def test_comments(text, want):
+    assert code.without_comments(text) == want
+
+
+def test_fenced_code(spark):
+    df = spark.createDataFrame([(1, "x\n```c\nint a; // n\n\n\n\nb;\n```\ny\n```python\nz\n```"), (2, None), (3, "none")], "i int, t string")
+    rows = df.select("i", F.posexplode(code.fenced("t")).alias("p", "b")).select("i", "p", "b.language", code.preprocess(F.col("b.code")).alias("c")).orderBy("p").collect()
+    assert [tuple(r) for r in rows] == [(1, 0, "c", "int a;\n\nb;"), (1, 1, "python", "z")]
+
+
+def test_rounds(spark):
+    tree = {"a": ["b", "c"], "b": ["d"], "c": [], "d": ["e"], "x": []}
+    said = spark.createDataFrame([(k, 1, v) for k, v in tree.items()], "agent_id string, finding bigint, children array<string>")
+    respond = lambda ready: ready.join(said, "agent_id")
+    roots = spark.createDataFrame([("a",), ("x",), ("silent",)], "agent_id string")
+    got = {r.agent_id: r for r in agents.run_rounds(roots, respond, max_depth=2).collect()}
+    assert {k: (r.status, r.finding, r.ended) for k, r in got.items()} == {"a": ("done", 4, 3), "b": ("done", 2, 3), "c": ("done", 1, 2), "d": ("done", 1, 3), "x": ("done", 1, 1), "silent": ("failed", 0, 1)}
+    short = {r.agent_id: r.status for r in agents.run_rounds(roots, respond, max_depth=2, max_rounds=1).collect()}
+    assert short == {"a": "closed", "b": "closed", "c": "closed", "x": "done", "silent": "failed"}
