@@ -60,6 +60,8 @@ def _plain(text: str) -> list[str]:
 
 
 _TEMPLATES = [_plain(t) for t in REFUSALS]
+#: With each template its distinct words, and how many of them a sentence must have to align with enough of it.
+_REFUSALS = [(t, frozenset(t), REFUSES * len(t) - (len(t) - len(set(t)))) for t in _TEMPLATES]
 
 
 def aligned(a: list[str], b: list[str]) -> int:
@@ -104,8 +106,9 @@ def is_refusal(text: str) -> bool:
         return False
     for i, part in enumerate(parts[:3]):
         words = _plain(part)
-        for t in _TEMPLATES:
-            if len(words) <= len(t) + 16 and aligned(t, words) >= REFUSES * len(t):
+        there = frozenset(words)
+        for t, distinct, least in _REFUSALS:
+            if len(words) <= len(t) + 16 and len(distinct & there) >= least and aligned(t, words) >= REFUSES * len(t):
                 rest = sum(len(_plain(p)) for j, p in enumerate(parts) if j != i)
                 if rest <= 14:
                     return True
