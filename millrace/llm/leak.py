@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.storage import stage
+
 #: Words in a window, and how many of them must be template words and slots.
 WINDOW, LEAST_WORDS, LEAST_SLOTS = 5, 2, 1
 #: A word of that many items is a template word.
@@ -91,6 +93,11 @@ def _windows(codes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return template, slots, (filled >= LEAST_SLOTS) & (filled <= WINDOW - LEAST_WORDS)
 
 
+def _joined(template: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """One number for a template and its slots' values."""
+    return template * np.uint64(0xD6E8FEB86659FD93) ^ slots
+
+
 def _hashes(found: list[str]) -> np.ndarray:
     return pd.util.hash_array(np.array(found, dtype=object), categorize=False) if found else np.empty(0, np.uint64)
 
@@ -201,7 +208,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str
         raise ValueError(f"more than {MOST_ITEM_WINDOWS} items")
     held = Items([(r[0], r[1]) for r in rows])
     shared = spark.sparkContext.broadcast(held)
-    known = np.unique(np.array([r[0] for r in held.rows], np.int64))
+    known = np.unique(_joined(*(np.array([r[c] for r in held.rows], np.int64).view(np.uint64) for c in (0, 1))))
     kind, item_kind = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,21 +234,27 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str
                 t, s, ok = _windows(codes[n], hashes[n])
                 if not len(t) or not len(known):
                     continue
-                t, s = t.view(np.int64), s.view(np.int64)
                 spot = np.flatnonzero(ok)
-                place = np.searchsorted(known, t[spot]).clip(max=len(known) - 1)
-                spot = spot[known[place] == t[spot]]
+                sought = _joined(t[spot], s[spot])
+                spot = spot[known[np.searchsorted(known, sought).clip(max=len(known) - 1)] == sought]
                 ends = np.cumsum(counts)
                 doc = np.searchsorted(ends, spot, side="right")
                 inside = spot + WINDOW <= ends[doc]
                 spot, doc = spot[inside], doc[inside]
-                starts = ends - np.array(counts)
                 if len(spot):
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(begin + doc)), pa.array(t[spot]), pa.array(s[spot]), pa.array((spot - starts[doc]).astype(np.int32))], [key, "template", "slots", "place"])
+                    own_docs, first = np.unique(doc, return_index=True)
+                    offsets = pa.array(np.append(first, len(doc)), pa.int32())
+                    rows_at = pa.array(begin + own_docs)
+                    place = (spot - (ends - np.array(counts))[doc]).astype(np.int32)
+                    lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (t[spot].view(np.int64), s[spot].view(np.int64), place)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows_at), batch.column(1).take(rows_at), *lists], [key, text, "templates", "slots", "places"])
 
     windows = spark.createDataFrame(pd.DataFrame(held.rows, columns=["template", "slots", item_key, "item_place"]), f"template long, slots long, `{item_key}` {item_kind}, item_place int")
-    near = docs.select(key, text).mapInArrow(candidates, f"`{key}` {kind}, template long, slots long, place int")
-    pairs = near.join(F.broadcast(windows), ["template", "slots"]).groupBy(key, item_key).agg(F.collect_set("item_place").alias("item_places"), F.array_sort(F.collect_set("place")).alias("places"))
+    # texts go on only for documents with a window that an item has, slots included
+    near = stage(docs.select(key, text).mapInArrow(candidates, f"`{key}` {kind}, `{text}` string, templates array<bigint>, slots array<bigint>, places array<int>"), "near-items")
+    one = F.explode(F.arrays_zip(F.col("templates").alias("template"), F.col("slots").alias("slots"), F.col("places").alias("place")))
+    found = near.select(key, one.alias("w")).select(key, "w.template", "w.slots", "w.place")
+    pairs = found.join(F.broadcast(windows), ["template", "slots"]).groupBy(key, item_key).agg(F.collect_set("item_place").alias("item_places"), F.array_sort(F.collect_set("place")).alias("places"))
 
     def promising(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = shared.value
@@ -264,5 +277,5 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str
                 out += [(k, x["item"]) for x in near if holds(own.words[x["item"]], own.slots[x["item"]], doc, list(x["places"]))]
             yield pd.DataFrame(out, columns=[key, item_key])
 
-    both = docs.select(key, text).join(pairs, key)
+    both = near.select(key, text).join(pairs, key)
     return both.mapInPandas(verified, f"`{key}` {kind}, `{item_key}` {item_kind}").distinct()
