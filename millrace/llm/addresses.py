@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.similarity import lcs_lengths
 from millrace.llm.groups import components
+from millrace.llm.names import fold
 from millrace.storage import stage
 
 #: Localities and street entries kept at each step of the search.
@@ -111,7 +112,7 @@ def read_address(text: str | None) -> dict[str, str] | None:
         return None
     words = [_TOWN_WORDS.get(w, w) for w in re.findall(r"[a-z']+", rest)]
     words = [w for w in words if len(w) > 1 and w not in ("no", "lot", "the") and w not in KINDS]
-    return dict(zip(FIELDS, (number, direction, street.replace("'", ""), kind, " ".join(words), state, code)))
+    return dict(zip(FIELDS, (number, direction, fold(street.replace("'", "")), kind, fold(" ".join(words)), state, code)))
 
 
 def parsed(receipts: DataFrame) -> DataFrame:

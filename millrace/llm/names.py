@@ -102,6 +102,11 @@ def _first_name(word: str) -> str | None:
     return best[1] if best[0] >= 0.8 else None
 
 
+def fold(word: str) -> str:
+    """A word's sound, roughly: spellings by ear differ in these letters."""
+    return word.replace("ow", "au").replace("ph", "f").replace("y", "i")
+
+
 def read_name(name: str | None) -> tuple[str, str, str, str, str, str] | None:
     """(kind, apart, one, two, first, middle): org or person, what sets it apart, its own words in order, given names; None: no name."""
     if name is None:
@@ -154,15 +159,16 @@ def read_name(name: str | None) -> tuple[str, str, str, str, str, str] | None:
             given = given[:1]
         if given and len(full) == 2:
             surname = next(w for w in full if w != given[0][0]) if full[0] != full[1] else full[1]
-            return "person", " ".join(generation), surname, "", given[0][1], letters[0] if letters else ""
+            return "person", " ".join(generation), fold(surname), "", given[0][1], letters[0] if letters else ""
         if len(full) == 1 and (letters or generation):
-            return "person", " ".join(generation), full[0], "", letters[0] if letters else "", letters[1] if len(letters) > 1 else ""
+            return "person", " ".join(generation), fold(full[0]), "", letters[0] if letters else "", letters[1] if len(letters) > 1 else ""
         if given and len(full) > 2:
             surname = max((w for w in full if w != given[0][0]), key=len)
-            return "person", " ".join(generation), surname, "", given[0][1], letters[0] if letters else ""
+            return "person", " ".join(generation), fold(surname), "", given[0][1], letters[0] if letters else ""
     own = [w for w in words if roles[w] == "own" and (len(w) > 2 or not w.isalpha())] or words
     if len(own) > 2:  # the two longest are the names; what is left was cut off a word
         own = sorted(sorted(own, key=lambda w: (-len(w), w))[:2], key=own.index)
+    own = [fold(w) for w in own]
     one, two = sorted((own + [""])[:2], reverse=True) if len(own) > 1 else (own[0] if own else s, "")
     return "org", apart, one, two, "", ""
 
