@@ -5,4 +5,4 @@ from millrace.storage import session
 
 @pytest.fixture(scope="session")
 def spark():
-    return session("tests", 4, spark__sql__shuffle__partitions="4", spark__driver__memory="4g")
+    return session("tests", 4, spark__sql__shuffle__partitions="2", spark__driver__memory="4g")
