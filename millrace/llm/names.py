@@ -214,40 +214,46 @@ def _keys(c: DataFrame) -> DataFrame:
 
 def same_entity(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
     """Whether readings a and b, row by row, are spellings of one name."""
-    one, two, three, four = (list(x) for x in (a["one"], a["two"], b["one"], b["two"]))
-    size = lambda w: np.array([len(x) for x in w])
-    apart = (a["apart"].to_numpy() == b["apart"].to_numpy()) & (a["kind"].to_numpy() == b["kind"].to_numpy())
+    ok = np.zeros(len(a), bool)
+    alike = (a["apart"].to_numpy() == b["apart"].to_numpy()) & (a["kind"].to_numpy() == b["kind"].to_numpy())
     person = a["kind"].to_numpy() == "person"
+    paired = (a["two"].to_numpy() != "") & (b["two"].to_numpy() != "")
+    for rows, compare in ((alike & person, _same_person), (alike & ~person & paired, _same_pair), (alike & ~person & ~paired, _same_joined)):
+        if rows.any():
+            ok[rows] = compare(a[rows], b[rows])
+    return ok
+
+
+def _ratios(x: list[str], y: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """LCS lengths, the words' lengths together, and the ratio."""
+    n, size = lcs_lengths(x, y), np.array([len(p) + len(q) for p, q in zip(x, y)])
+    return n, size, 2 * n / np.maximum(1, size)
 
-    def begins(x, y):  # an abbreviation: the first letters of the other
-        return np.array([3 <= min(len(p), len(q)) and (p.startswith(q) or q.startswith(p)) for p, q in zip(x, y)], bool)
 
-    def ratio(x, y):
-        n = lcs_lengths(x, y)
-        return n, 2 * n / np.maximum(1, size(x) + size(y))
+def _same_person(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
+    given = np.array([p == q or not p or not q or (len(p) == 1 or len(q) == 1) and p[0] == q[0] for p, q in zip(a["first"], b["first"])], bool)
+    middle = np.array([p == q or not p or not q for p, q in zip(a["middle"], b["middle"])], bool)
+    return given & middle & (_ratios(a["one"].tolist(), b["one"].tolist())[2] >= SURNAME)
 
-    l13, r13 = ratio(one, three)
+
+def _same_pair(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
+    one, two, three, four = (x.tolist() for x in (a["one"], a["two"], b["one"], b["two"]))
     ok = np.zeros(len(a), bool)
-    # persons
-    f, g, m, n = (x.to_numpy(dtype=object) for x in (a["first"], b["first"], a["middle"], b["middle"]))
-    given = np.array([p == q or not p or not q or (len(p) == 1 or len(q) == 1) and p[0] == q[0] for p, q in zip(f, g)], bool)
-    middle = np.array([p == q or not p or not q for p, q in zip(m, n)], bool)
-    ok |= person & given & middle & (r13 >= SURNAME)
-    pairs = ~person & (size(two) > 0) & (size(four) > 0)
-    l24, r24 = ratio(two, four)
-    l14, r14 = ratio(one, four)
-    l23, r23 = ratio(two, three)
-    total = np.maximum(1, size(one) + size(two) + size(three) + size(four))
-    ok |= pairs & (2 * (l13 + l24) / total >= BOTH) & (np.minimum(r13, r24) >= WEAKER)
-    ok |= pairs & (2 * (l14 + l23) / total >= BOTH) & (np.minimum(r14, r23) >= WEAKER)
-    for x, y, r in ((two, four, r13), (one, three, r24), (two, three, r14), (one, four, r23)):
-        ok |= pairs & (r >= 0.85) & begins(x, y)
-    single = ~person & ~pairs
+    for w, x, y, z in ((one, three, two, four), (one, four, two, three)):
+        (n, size, r), (n2, size2, r2) = _ratios(w, x), _ratios(y, z)
+        ok |= (2 * (n + n2) / np.maximum(1, size + size2) >= BOTH) & (np.minimum(r, r2) >= WEAKER)
+        # an abbreviation: the first letters of the other
+        short = lambda u, v: np.array([min(len(p), len(q)) >= 3 and (p.startswith(q) or q.startswith(p)) for p, q in zip(u, v)], bool)
+        ok |= (r >= 0.85) & short(y, z) | (r2 >= 0.85) & short(w, x)
+    return ok
+
+
+def _same_joined(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
+    one, two, three, four = (x.tolist() for x in (a["one"], a["two"], b["one"], b["two"]))
     ab, ba = [x + y for x, y in zip(one, two)], [y + x for x, y in zip(one, two)]
     cd, dc = [x + y for x, y in zip(three, four)], [y + x for x, y in zip(three, four)]
-    long = np.minimum(size(ab), size(cd)) >= 8
-    ok |= single & long & (np.maximum(np.maximum(ratio(ab, cd)[1], ratio(ba, cd)[1]), ratio(ab, dc)[1]) >= JOINED)
-    return ok & apart
+    best = np.maximum(np.maximum(_ratios(ab, cd)[2], _ratios(ba, cd)[2]), _ratios(ab, dc)[2])
+    return (best >= JOINED) & np.array([min(len(x), len(y)) >= 8 for x, y in zip(ab, cd)], bool)
 
 
 def entities(names: DataFrame, key: str = "id", name: str = "name", common: int = COMMON) -> DataFrame:
@@ -267,7 +273,7 @@ def entities(names: DataFrame, key: str = "id", name: str = "name", common: int
     x, y = blocks.withColumnRenamed("class", "x"), blocks.withColumnRenamed("class", "y")
     pairs = x.join(y, "block").where("x < y").select("x", "y").distinct()
     left, right = (classes.select(F.col("class").alias(p), F.struct(*fields).alias(f"{p}_name")) for p in ("x", "y"))
-    both = pairs.join(left, "x").join(right, "y")
+    both = pairs.join(left, "x").join(right, "y").where("x_name.kind = y_name.kind and x_name.apart = y_name.apart")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
