@@ -19,22 +19,30 @@ def scored_pairs(names: DataFrame, name: str = "name", threshold: int = 70, auto
     score = int(0.6 fuzzy + 0.4 * 100 * Jaccard of the token sets), fuzzy = rounded LCS ratio of the cleaned names in percent. The
     threshold bounds the Jaccard similarity from below, (threshold - 60) / 40, and with it the number of shared tokens; so only a
     name's rarest tokens are indexed, as many as a pair of these sizes may differ in and one more. Frequent tokens
-    meet only where they decide. Names without a token pair with none.
+    meet only where they decide, and a pair that shares a single token must have nearly the same length. Names without a token pair with none.
     """
     least = max(0.0, (threshold - 60) / 40)
     n = names.select(F.col(name).alias("name")).where("name is not null").distinct()
     n = n.withColumn("tokens", name_tokens("name")).withColumn("clean", F.array_join("tokens", " ")).withColumn("tokens", F.array_distinct("tokens")).where("size(tokens) > 0")
     n = stage(n, "names")
     df = n.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    ranked = n.select("name", F.explode("tokens").alias("token")).join(df, "token").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t")).select("name", F.col("t.token").alias("rare"), F.size("t").alias("m"))
+    ranked = n.select("name", F.length("clean").alias("letters"), F.explode("tokens").alias("token")).join(df, "token").groupBy("name", "letters")
+    ranked = ranked.agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t")).select("name", "letters", F.col("t.token").alias("rare"), F.size("t").alias("m"))
     # for partners of k tokens, at least `need` tokens are shared: one of the first m - need + 1 rarest is
     most = int(ranked.agg(F.max("m")).first()[0] or 1)
     need = F.greatest(F.lit(1), F.ceil(F.lit(least) * (F.col("m") + F.col("k")) / (1 + least) - 1e-9))
-    sized = ranked.select("name", "rare", "m", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("k"))
-    keys = sized.where((need <= F.least("m", "k"))).select("name", "m", "k", F.explode(F.slice("rare", 1, (F.col("m") - need + 1).cast("int"))).alias("token"))
-    a = keys.select(F.col("name").alias("name_a"), "m", "k", "token")
-    b = keys.select(F.col("name").alias("name_b"), F.col("m").alias("k"), F.col("k").alias("m"), "token")
-    pairs = a.join(b, ["token", "m", "k"]).where("name_a < name_b").select("name_a", "name_b").distinct()
+    sized = ranked.select("name", "rare", "m", "letters", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("k")).where(need <= F.least("m", "k"))
+    shared_least = F.explode(F.array_distinct(F.array(need, F.when((need == 1) & (F.col("m") > 1) & (F.col("k") > 1), F.lit(2)).otherwise(need)).cast("array<int>")))
+    sized = sized.withColumn("need", shared_least)
+    keys = sized.select("name", "m", "k", "need", "letters", F.explode(F.slice("rare", 1, F.col("m") - F.col("need") + 1)).alias("token"))
+    a = keys.select(F.col("name").alias("name_a"), "m", "k", "need", "token", F.col("letters").alias("letters_a"))
+    b = keys.select(F.col("name").alias("name_b"), F.col("m").alias("k"), F.col("k").alias("m"), "need", "token", F.col("letters").alias("letters_b"))
+    # a pair that shares one token only must be almost the same otherwise: so many letters may be missing on either side
+    total, apart = F.col("letters_a") + F.col("letters_b"), F.abs(F.col("letters_a") - F.col("letters_b"))
+    fuzzy_least = F.ceil((threshold - F.lit(40.0) / (F.col("m") + F.col("k") - 1)) / 0.6 - 1e-9)
+    missing = total * (1 - (fuzzy_least - 0.5) / 100) + 1e-9
+    close = (apart <= missing) & ((apart > 0) | (missing >= 2) | (F.col("m") + F.col("k") == 2))
+    pairs = a.join(b, ["token", "m", "k", "need"]).where((F.col("name_a") < F.col("name_b")) & ((F.col("need") > 1) | close)).select("name_a", "name_b").distinct()
     for side in ("a", "b"):
         pairs = pairs.join(n.select(F.col("name").alias(f"name_{side}"), F.col("tokens").alias(f"tokens_{side}"), F.col("clean").alias(f"clean_{side}")), f"name_{side}")
     shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
