@@ -123,7 +123,7 @@ def origin_shares(spark: SparkSession, d: str) -> DataFrame:
     from m where canonical <> '' group by 1"""
 )
 def cluster_merge(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "company_records").where("name is not null and not name rlike '[^\\\\x20-\\\\x7e]'").distinct().withColumn("at", F.struct("created_at", "id"))
+    r = table(spark, d, "company_records").where("name is not null").distinct().withColumn("at", F.struct("created_at", "id"))
     return entities.merged_clusters(r, "name", "at", {"ticker": "ticker"}, {"exchange": "exchange"}, {"origins": "origin"})
 
 
@@ -136,7 +136,7 @@ def cluster_merge(spark: SparkSession, d: str) -> DataFrame:
 )
 def reference_recall(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "match_pairs")
-    names = p.select(F.explode(F.array("name_a", "name_b")).alias("name")).where("name is not null and not name rlike '[^\\\\x20-\\\\x7e]'")
+    names = p.select(F.explode(F.array("name_a", "name_b")).alias("name")).where("name is not null")
     return entities.found_in(table(spark, d, "ref_companies"), names)
 
 
@@ -146,7 +146,7 @@ def reference_recall(spark: SparkSession, d: str) -> DataFrame:
     select norm, spellings, records from m where spellings > 1"""
 )
 def duplicate_clusters(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "company_records").where("name is not null and not name rlike '[^\\\\x20-\\\\x7e]'")
+    r = table(spark, d, "company_records").where("name is not null")
     x = r.groupBy(T.strip_company_endings("name").alias("norm")).agg(F.count_distinct("name").alias("spellings"), F.count_distinct("id").alias("records"))
     return x.where("spellings > 1")
 
@@ -220,7 +220,7 @@ _JOINED = """q as (select id, min(question) as question, min(answer) as answer,
 @query(f"with {_JOINED} select result_id, {_ANSWER} as answer from r where regexp_matches(content, '[0-9]')")
 def answer_extract(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "batch_results").where("error is null").distinct().withColumn("content", requests.content())
-    return r.where(F.col("content").rlike("[0-9]")).select("result_id", T.model_answer("content").alias("answer"))
+    return r.select("result_id", T.model_answer("content").alias("answer"))
 
 
 @query(
@@ -410,7 +410,7 @@ _LONG = rf"""u as (select distinct receipt_id, run, model, d as date, round(tota
 
 
 def _runs(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "receipt_extractions").where("not coalesce(vendor_name, '') rlike '[^\\\\x20-\\\\x7e]'")
+    r = table(spark, d, "receipt_extractions")
     fields = {"date": T.normalize_date("date"), "total": F.format_string("%.2f", F.round("total", 2)), "vendor_name": T.normalize_string("vendor_name")}
     return r.select("receipt_id", "run", "model", *[F.when(F.col(n).isNotNull(), c).alias(n) for n, c in fields.items()]).distinct()
 
