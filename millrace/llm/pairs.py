@@ -22,6 +22,8 @@ from millrace.storage import stage
 EMPTY, TRUNCATED, REFUSAL, COPY, LANGUAGE = "empty", "truncated", "refusal", "copies_question", "other_language"
 #: Shingle containment and alignment that make a copy; share of a template's words in order that makes a refusal.
 SHINGLE, CONTAINED, ALIGNED, REFUSES = 3, 0.5, 0.8, 0.8
+#: Words among a template's own; words beside a refusal, courtesies, reasons and the question apart, that don't make an answer.
+SPREAD, ASIDE = 16, 14
 # Function words by language, refusal templates, placeholders.
 WORDS = {
     "en": "the of and is are was were in to for with that this it its which what how on by as from not be been has have you your they them at or before when since more than does there an who why where should can each still about first takes most without between if".split(),
@@ -41,6 +43,14 @@ REFUSALS = [
     "dabei kann ich nicht helfen", "diese Anfrage muss ich ablehnen", "dazu möchte ich mich nicht äußern", "das kann ich nicht beantworten", "meine Richtlinien lassen das nicht zu", "darauf darf ich nicht antworten", "diese Frage kann ich nicht beantworten", "hierzu gebe ich keine Auskunft", "das liegt außerhalb dessen, was ich darf",
     "mis normas me impiden contestar", "no me es posible responder a esta petición", "esa pregunta queda fuera de lo que se me permite", "no puedo ayudar con eso", "prefiero no hablar de este tema", "debo rechazar esta petición", "no puedo responder a esta pregunta", "prefiero no tratar este tema",
 ]
+#: Courtesies that come with refusals, and words of the reasons given for them.
+COURTESIES = [
+    "you are asking about", "is there anything else", "feel free to ask", "ask me something else", "ask me about a different subject", "I hope you understand", "thank you for understanding", "I apologize for", "I'm sorry for", "happy to help with", "let me know if", "please consult", "please contact",
+    "vous demandez", "n'hésitez pas", "posez moi une autre question", "merci de votre compréhension", "puis je vous aider", "je suis désolé", "veuillez consulter",
+    "Sie fragen nach", "fragen Sie mich gern", "kann ich sonst", "danke für Ihr Verständnis", "es tut mir leid", "bitte wenden Sie sich",
+    "usted pregunta por", "no dude en", "pregúnteme otra cosa", "gracias por su comprensión", "lo siento", "hay algo más", "consulte con",
+]
+REASONS = "guideline guidelines policy policies instructions consignes règles directives richtlinien vorgaben regeln normas directrices políticas".split()
 NOTHING = frozenset(["", "null", "none", "nil", "na", "n a", "no answer", "answer", "undefined", "empty", "nan", "response", "no response", "output", "no content", "content", "result", "tbd", "todo"])
 TARGETS = {"en": r"english|anglais|englisch\w*|inglés|ingles", "fr": r"french|français|francais|französisch\w*|francés|frances", "de": r"german|allemand|deutsch\w*|alemán|aleman", "es": r"spanish|espagnol|spanisch\w*|español|espanol|castellano"}
 _TARGET = {k: re.compile(rf"(?i)\b(?:into|in|en|au|ins?|auf|al)\s+(?:{v})\b") for k, v in TARGETS.items()}
@@ -61,7 +71,8 @@ def _plain(text: str) -> list[str]:
 
 _TEMPLATES = [_plain(t) for t in REFUSALS]
 #: With each template its distinct words, and how many of them a sentence must have to align with enough of it.
-_REFUSALS = [(t, frozenset(t), REFUSES * len(t) - (len(t) - len(set(t)))) for t in _TEMPLATES]
+_REFUSALS, _POLITE = ([(t, frozenset(t), REFUSES * len(t) - (len(t) - len(set(t)))) for t in x] for x in (_TEMPLATES, [_plain(t) for t in COURTESIES]))
+_REASONS = frozenset(w for x in REASONS for w in _plain(x))
 
 
 def aligned(a: list[str], b: list[str]) -> int:
@@ -99,20 +110,44 @@ def is_empty(text: str | None) -> bool:
     return " ".join(words).casefold() in NOTHING
 
 
-def is_refusal(text: str) -> bool:
-    """A sentence holds a refusal template's words in order, close together, and little else is said."""
-    parts = [p for p in re.split(r"(?<=[.!?;])\s+|\n+", spoken(text).strip()) if _LETTERS.search(p)]
-    if not parts or len(parts) > 4:
+def _spot(t: list[str], words: list[str]) -> tuple[int, int] | None:
+    """The shortest stretch of words, not much longer than a template, that holds enough of it in order; the first of these."""
+    best, there = None, frozenset(t)
+    for i in range(len(words)):
+        if words[i] in there:
+            stretch = words[i : i + len(t) + SPREAD]
+            if aligned(t, stretch) >= REFUSES * len(t):
+                n = next(n for n in range(1, len(stretch) + 1) if aligned(t, stretch[:n]) >= REFUSES * len(t))
+                if best is None or n < best[1] - best[0]:
+                    best = i, i + n
+    return best
+
+
+def _without(words: list[str], templates: list[tuple[list[str], frozenset[str], float]]) -> list[list[str]] | None:
+    """What stands before and after a template; None if none is there."""
+    there = frozenset(words)
+    for t, distinct, least in templates:
+        if len(distinct & there) >= least and (at := _spot(t, words)):
+            return [words[: at[0]], words[at[1] :]]
+    return None
+
+
+def _left(words: list[str], asked: list[str]) -> int:
+    """Words of a passage that may answer: none if it is a courtesy, gives reasons for refusing or restates the question."""
+    if not words or _REASONS & set(words) or _without(words, _POLITE) or _without(words, _REFUSALS):
+        return 0
+    return 0 if len(words) > 2 and aligned(words, asked) >= REFUSES * len(words) else len(words)
+
+
+def is_refusal(text: str, question: str | None = None) -> bool:
+    """A sentence, wherever it stands, holds a refusal template's words in order, close together; what else is said doesn't answer."""
+    parts = [w for p in re.split(r"(?<=[.!?;])\s+|\n+", spoken(text).strip()) if (w := _plain(p))]
+    refused = next(((i, around) for i, w in enumerate(parts) if (around := _without(w, _REFUSALS))), None)
+    if not refused:
         return False
-    for i, part in enumerate(parts[:3]):
-        words = _plain(part)
-        there = frozenset(words)
-        for t, distinct, least in _REFUSALS:
-            if len(words) <= len(t) + 16 and len(distinct & there) >= least and aligned(t, words) >= REFUSES * len(t):
-                rest = sum(len(_plain(p)) for j, p in enumerate(parts) if j != i)
-                if rest <= 14:
-                    return True
-    return False
+    i, around = refused
+    asked = _plain(question or "")
+    return sum(_left(w, asked) for w in [*around, *parts[:i], *parts[i + 1 :]]) <= ASIDE
 
 
 def is_copy(question: str | None, text: str) -> bool:
@@ -246,7 +281,7 @@ def defects(results: DataFrame, questions: DataFrame) -> DataFrame:
                 t, q = (x if isinstance(x, str) else None for x in (t, q))
                 if is_empty(t):
                     out.append((k, EMPTY))
-                elif is_refusal(t):
+                elif is_refusal(t, q):
                     out.append((k, REFUSAL))
                 elif is_copy(q, t):
                     out.append((k, COPY))

@@ -69,3 +69,21 @@ def test_null_levels_of_the_response(spark):
     rows = [(1, "q", None, None), (2, "q", (None,), None), (3, "q", ((None,),), None), (4, "q", (([],),), None), (5, "q", (([(None,)],),), None), (6, "q", (([((None,),)],),), None)]
     got = pairs.defects(spark.createDataFrame(rows, schema), spark.createDataFrame([("q", Q)], "id string, question string")).collect()
     assert sorted(tuple(r) for r in got) == [(i, pairs.EMPTY) for i in range(1, 7)]
+
+
+EXPLAINED = "I understand why you ask. I can't help with that. My guidelines rule out this kind of advice, since a mistake could do harm to people who rely on it. This policy holds for every topic of this sort. Thank you for understanding. Please let me know if you need something else."
+
+
+@pytest.mark.parametrize(
+    ("question", "text", "want"),
+    [
+        (Q, "You are asking about Dunhollow. I apologize; answering would go against my guidelines. Is there anything else you would like to talk about?", True),
+        (Q, EXPLAINED, True),
+        (Q, f"{Q} That is what was asked here. I thought about it. I must decline this request.", True),
+        (Q, "I can't help with that guess, but " + LONG, False),
+        (Q, "I can't help with that. " + LONG, False),
+        (Q, LONG + " I'm not able to answer this.", False),
+    ],
+)
+def test_refusals_by_what_else_is_said(question, text, want):
+    assert pairs.is_refusal(text, question) == want
