@@ -3,8 +3,8 @@
 A name is read into its own words (an organisation's names, a person's surname), what it is about, and what tells entities apart:
 a fund's number, a branch's place, a generation. Equal readings are one class, however many records share it. Classes are indexed by
 suffixes of their own words, of a minimum length, together with a letter or ending of the other word (and by both words'
-first letters, for words misspelt near both ends). A suffix that stays too common
-is refined with more of both words and the distinguishing fields; none is dropped. Pairs of classes in a block are compared by
+first letters, for words misspelt near both ends) and with what tells entities apart. A block of many
+classes is compared in pieces; no pair in it is left out. Pairs of classes in a block are compared by
 their words' longest common subsequences, bit-parallel over whole columns. Links between classes are closed by the
 partitioned union-find of ``groups``; pairs of records are made within entities only.
 """
@@ -25,7 +25,7 @@ from millrace.llm.groups import components
 from millrace.storage import stage
 
 SUFFIX = 5
-#: A block of more classes is refined.
+#: A block of more classes is compared in pieces.
 COMMON = 60
 #: Least LCS ratios: of both words together, of the weaker word, of a surname, of words written as one.
 BOTH, WEAKER, SURNAME, JOINED = 0.84, 0.62, 0.78, 0.86
@@ -188,28 +188,20 @@ def readings(names: DataFrame, key: str = "id", name: str = "name") -> DataFrame
 
 
 def _keys(c: DataFrame) -> DataFrame:
-    """Two block keys a class and word: a suffix with little, and with much, of the rest. Short words are taken whole."""
+    """(class, block): a suffix or beginning of each own word, with little of the rest, and what sets names apart. Short words are taken whole."""
     tail = lambda w, n: F.right(w, F.lit(n))
     head = lambda w, n: F.left(w, F.lit(n))
     one, two = F.col("one"), F.col("two")
-    other = lambda w: F.when(w == "", F.lit("")).otherwise(w)
 
     def org(t, o):
         joined = F.when(o == "", t).otherwise(o)
-        wide = F.concat_ws("|", F.lit("a"), tail(t, SUFFIX), head(joined, 2))
-        end = F.concat_ws("|", F.lit("b"), tail(t, SUFFIX), tail(other(o), 3))
-        more = F.concat_ws("|", "apart", tail(t, 8), tail(other(o), 4))
-        return [F.struct(wide.alias("key"), F.concat_ws("|", wide, "apart", tail(t, 7), head(joined, 4)).alias("refined")), F.struct(end.alias("key"), F.concat_ws("|", end, more).alias("refined"))]
+        return [F.concat_ws("|", F.lit("a"), tail(t, SUFFIX), head(joined, 2)), F.concat_ws("|", F.lit("b"), tail(t, SUFFIX), tail(o, 3))]
 
     letter = F.left("first", F.lit(1))
-    surname = F.concat_ws("|", F.lit("p"), tail(one, SUFFIX), letter)
-    start = F.concat_ws("|", F.lit("q"), head(one, 4), letter)
-    person = [F.struct(surname.alias("key"), F.concat_ws("|", surname, "apart", tail(one, 8), "middle").alias("refined")), F.struct(start.alias("key"), F.concat_ws("|", start, "apart", head(one, 7), "middle").alias("refined"))]
-    low, high = F.least(one, two), F.greatest(one, two)
-    heads = F.concat_ws("|", F.lit("c"), head(low, 3), head(high, 3))
-    starts = F.struct(heads.alias("key"), F.concat_ws("|", heads, "apart", head(low, 5), head(high, 5)).alias("refined"))
-    keys = F.when(F.col("kind") == "person", F.array(*person)).when(two == "", F.array(*org(one, two))).otherwise(F.array(*org(one, two), *org(two, one), starts))
-    return c.select("class", F.explode(keys).alias("k")).select("class", "k.key", "k.refined")
+    person = [F.concat_ws("|", F.lit("p"), tail(one, SUFFIX), letter), F.concat_ws("|", F.lit("q"), head(one, 4), letter)]
+    heads = F.concat_ws("|", F.lit("c"), head(F.least(one, two), 3), head(F.greatest(one, two), 3))
+    keys = F.when(F.col("kind") == "person", F.array(*person)).when(two == "", F.array(*org(one, two))).otherwise(F.array(*org(one, two), *org(two, one), heads))
+    return c.select("class", "apart", F.explode(keys).alias("key")).select("class", F.concat_ws("|", "key", "apart").alias("block"))
 
 
 def same_entity(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
@@ -265,13 +257,13 @@ def entities(names: DataFrame, key: str = "id", name: str = "name", common: int
     fields = ["kind", "apart", "one", "two", "first", "middle"]
     read = stage(read.withColumn("class", F.xxhash64(*fields)), "readings")
     classes = stage(read.select("class", *fields).dropDuplicates(["class"]), "classes")
-    keys = _keys(classes)
-    sized = keys.groupBy("key").agg(F.count("*").alias("n")).where(f"n > {int(common)}").select("key", F.lit(True).alias("large"))
-    blocks = keys.join(sized, "key", "left").select("class", F.when(F.col("large"), F.col("refined")).otherwise(F.col("key")).alias("block"))
-    same = Window.partitionBy("block")
-    blocks = blocks.distinct().withColumn("n", F.count("*").over(same)).where("n > 1").drop("n")
-    x, y = blocks.withColumnRenamed("class", "x"), blocks.withColumnRenamed("class", "y")
-    pairs = x.join(y, "block").where("x < y").select("x", "y").distinct()
+    blocks = _keys(classes).distinct()
+    # a large block is compared in pieces, each of its parts of about `common` classes against the whole block
+    sized = blocks.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block", F.ceil(F.col("n") / int(common)).alias("parts"))
+    blocks = blocks.join(sized, "block")
+    x = blocks.select("block", F.col("class").alias("x"), F.pmod("class", "parts").alias("part"))
+    y = blocks.select("block", F.col("class").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    pairs = x.join(y, ["block", "part"]).where("x < y").select("x", "y").distinct()
     left, right = (classes.select(F.col("class").alias(p), F.struct(*fields).alias(f"{p}_name")) for p in ("x", "y"))
     both = pairs.join(left, "x").join(right, "y").where("x_name.kind = y_name.kind and x_name.apart = y_name.apart")
 

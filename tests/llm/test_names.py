@@ -59,3 +59,10 @@ def test_common_suffixes_are_refined_not_dropped(spark):
     crowd = [(f"c{i:03d}", f"{a}{b}kolum {c}nalunast Foods Inc") for i, (a, b, c) in enumerate((x, y, z) for x in ("Be", "Do", "Fu") for y in ("ra", "ti", "mo") for z in ("Ga", "Hipo", "Zu"))]
     twin = [("t001", "Gá­nalunast-Berakolum Foods"), ("t002", "BERAKOLUM GANALUNAST FDS")]
     assert {("c000", "t001"), ("c000", "t002"), ("t001", "t002")} <= set(found(spark, crowd + twin, [], common=3))
+
+
+def test_large_blocks_compare_all_their_pairs(spark):
+    crowd = [(f"c{i:02d}", f"Gregory {c} {x}ogaudibor") for i, (c, x) in enumerate((c, x) for c in "ABC" for x in ("Br", "Kl", "St"))]
+    twins = [("t1", "Gregory Hogaudibor"), ("t2", "Gregory K Hogaudibor")]
+    assert ("t1", "t2") in found(spark, crowd + twins, [], common=1)
+    assert found(spark, crowd + twins, [], common=1) == found(spark, crowd + twins, [], common=1000)
