@@ -71,3 +71,36 @@ def test_alignment_is_a_longest_common_subsequence():
         pairs = leak._aligned(a, b)
         assert len(pairs) == brute(a, b) and all(a[j] == b[i] for j, i in pairs)
         assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+
+
+PROSE = "Explain why the tide rises twice on most days although the moon passes over the harbour only once between noon and midnight"
+
+
+def test_a_verbatim_item_is_found_whatever_the_other_items_are(spark):
+    _, items, other = make()
+    docs = [(1, "Before it. " + PROSE + ". After it.", 0), (2, "Some words about " + " ".join(PROSE.split()[4:17]) + " and so on.", 0), (3, other[0], 0)]
+    for n in (0, 1, 2, 20):
+        own = [(900, PROSE + "?"), *items[:n]]
+        assert run(spark, docs, own) == [(1, 900), (2, 900)]
+
+
+def test_a_tenth_of_the_items_gives_the_same_leaks(spark):
+    _, items, other = make()
+    text = dict(items)
+    docs = [(1, text[10], 0), (2, "On. " + text[0] + " Off.", 0), *((9 + k, t, 0) for k, t in enumerate(other))]
+    every = run(spark, docs, items)
+    assert [x for x in every if x[1] % 10 == 0] == run(spark, docs, [x for x in items if x[0] % 10 == 0]) == [(1, 10), (2, 0)]
+
+
+def test_reparameterised_questions_are_told_by_their_slots(spark):
+    item = "Mill Kavo stores 23 tins of felt hats in a cellar below Depor, and the crew carries 61 of them upstairs each day. How many tins does Kavo hold after 96 days?"
+    other = "Mill Sobu stores 48 tins of felt hats in a cellar below Lutan, and the crew carries 17 of them upstairs each day. How many tins does Sobu hold after 30 days?"
+    edited = "Mill Kavo stores 23 tins of woollen hats in a cellar below Depor, and the crew carries 62 of them upstairs each day. How many tins does Kavo hold after 96 days?"
+    assert run(spark, [(1, other, 0), (2, edited, 0)], [(5, item)]) == [(2, 5)]
+
+
+def test_a_sentence_that_the_corpus_has_without_the_item_is_stock(spark):
+    stock = "Read everything once more before writing down your own short answer in one plain sentence below."
+    item = "Baker Zuhovar sold 47 loaves to Makitel and 92 to Porusan before noon. " + stock
+    docs = [(k, f"Task {k}. " + stock, 0) for k in range(10)] + [(50, "Here: " + item, 0)]
+    assert run(spark, docs, [(7, item)]) == [(50, 7)]
