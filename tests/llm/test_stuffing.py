@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from millrace.llm import stuffing
 
 NOUNS = "letter bridge owner kitchen harbour wagon teacher window river garden".split()
@@ -48,6 +50,31 @@ def test_kinds_of_pages(spark):
     assert got == [1000, *range(1000, 1000 + len(bad))]
 
 
+def test_the_model_decides(spark):
+    """With a flat model, which finds every class equally surprising, pages are lost that the corpus' model finds."""
+    good, bad = pages()
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(good + bad)], "doc_id long, text string")
+    model = stuffing.train(df)
+    flat = stuffing.Model(model.grams[:0], model.counts[:0])
+    flat.mean = float(-np.log(1 / stuffing.N_CLASSES))
+    right = {len(good) + i for i in range(len(bad))}
+    found = {r.doc_id for r in stuffing.stuffed_pages(df, flat).collect()}
+    assert len(found ^ right) >= 3
+
+
+def test_fitted_weights_separate_labelled_pages():
+    good, bad = pages()
+    texts, labels = [t for t in good + bad if t is None or len(t) < 10_000], [False] * len(good) + [True] * (len(bad) - 1)
+    reader = stuffing.Reader()
+    b = reader.read(texts)
+    grams, s = stuffing._trigrams(b)
+    model = stuffing.Model(*np.unique(grams[stuffing._prose(b, s, grams)[s]], return_counts=True))
+    weights, bias = stuffing.fit(texts, labels, model)
+    p = stuffing.measure(b, len(texts), model)
+    found = p.measures @ np.array([weights[m] for m in stuffing.MEASURES]) + bias > 0
+    assert (found == np.array(labels)).mean() > 0.95
+
+
 def test_counts_do_not_depend_on_partitions(spark):
     good, bad = pages()
     df = spark.createDataFrame([(t,) for t in good + bad], "text string")
