@@ -1,7 +1,8 @@
 """Broken question and answer pairs: empty, refusing, copying, foreign-language and truncated answers.
 
 Copies are found by aligning the answer with its question: containment of word shingles first, then a longest common subsequence
-of words. Refusals are aligned with templates. Languages are told by function words. Whether an answer without a closing
+of words. Refusals are aligned with templates: wordings, and sequences of roles (who speaks, cannot or may not, a verb of answering or
+helping, what was asked), each role with its words in four languages. Languages are told by function words. Whether an answer without a closing
 sign breaks off is told by how its last words are used elsewhere: counts over all answers of how often two words close an
 item, and how often they stand within one, join each such answer on its own last words.
 """
@@ -9,9 +10,11 @@ item, and how often they stand within one, join each such answer on its own last
 from __future__ import annotations
 
 import json
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -33,15 +36,13 @@ WORDS = {
 }
 _WORDS = {k: frozenset(v) for k, v in WORDS.items()}
 REFUSALS = [
-    "can't help with that", "cannot help with that", "unable to help with that", "must decline this request", "have to decline this request", "going to pass on that", "will have to look elsewhere for this one",
-    "answering would go against my guidelines", "this is not something I can assist with", "can't assist with that", "falls outside what I'm allowed to discuss", "no answer will be given to this prompt",
-    "let's move on to a different matter", "I'd rather leave this question to someone else", "I have been asked to stay away from such questions", "it would not be appropriate for me to comment",
-    "I don't feel comfortable going into this topic", "I won't be answering this one", "I'd rather not answer", "I'm not able to answer this", "I cannot answer this question", "I can't provide that",
-    "my instructions don't permit a reply here", "I am not able to provide this information",
-    "je préfère ne pas aborder ce sujet", "cette question sort de mon cadre", "je ne peux pas répondre à cette demande", "il m'est impossible de vous aider sur ce point", "je ne peux pas vous aider",
-    "mes règles m'interdisent de répondre", "je dois décliner cette demande", "je ne suis pas en mesure de répondre", "mes consignes m'empêchent d'aller plus loin",
-    "dabei kann ich nicht helfen", "diese Anfrage muss ich ablehnen", "dazu möchte ich mich nicht äußern", "das kann ich nicht beantworten", "meine Richtlinien lassen das nicht zu", "darauf darf ich nicht antworten", "diese Frage kann ich nicht beantworten", "hierzu gebe ich keine Auskunft", "das liegt außerhalb dessen, was ich darf",
-    "mis normas me impiden contestar", "no me es posible responder a esta petición", "esa pregunta queda fuera de lo que se me permite", "no puedo ayudar con eso", "prefiero no hablar de este tema", "debo rechazar esta petición", "no puedo responder a esta pregunta", "prefiero no tratar este tema",
+    "going to pass on that", "will have to look elsewhere for this one", "answering would go against my guidelines", "this is not something I can assist with",
+    "falls outside what I'm allowed to discuss", "no answer will be given to this prompt", "let's move on to a different matter", "I'd rather leave this question to someone else",
+    "I have been asked to stay away from such questions", "it would not be appropriate for me to comment", "I don't feel comfortable going into this topic", "I won't be answering this one",
+    "I'd rather not answer", "my instructions don't permit a reply here", "je préfère ne pas aborder ce sujet", "cette question sort de mon cadre",
+    "il m'est impossible de vous aider sur ce point", "mes règles m'interdisent de répondre", "je dois décliner cette demande", "mes consignes m'empêchent d'aller plus loin",
+    "meine Richtlinien lassen das nicht zu", "das liegt außerhalb dessen, was ich darf", "mis normas me impiden contestar", "no me es posible responder a esta petición",
+    "esa pregunta queda fuera de lo que se me permite", "prefiero no hablar de este tema", "prefiero no tratar este tema",
 ]
 #: Courtesies that come with refusals, and words of the reasons given for them.
 COURTESIES = [
@@ -51,6 +52,27 @@ COURTESIES = [
     "usted pregunta por", "no dude en", "pregúnteme otra cosa", "gracias por su comprensión", "lo siento", "hay algo más", "consulte con",
 ]
 REASONS = "guideline guidelines policy policies instructions consignes règles directives richtlinien vorgaben regeln normas directrices políticas".split()
+#: Roles of words in a refusal, and the sequences of roles that are one; END: nothing else follows.
+ROLES = {
+    "I": "i im id ive myself",
+    "CANT": "cant cannot wont couldnt wouldnt unable",
+    "NOT": "not dont never neither",
+    "ABLE": "able ability permitted allowed authorized authorised position comfortable capacity permission supposed willing equipped",
+    "REFUSE": "refuse decline abstain refrain declining refusing",
+    "ACT": "answer help assist discuss comment respond reply engage address advise say share do talk speak provide give offer continue complete fulfil fulfill support",
+    "IT": "this that it these such your here request requests question questions topic matter subject prompt query you",
+    "JE": "je j", "NE": "ne n", "PEUX": "peux puis suis souhaite veux vais saurais dois", "REFUSER": "refuse decline decliner refuser abstiens abstenir renonce",
+    "FAIRE": "repondre aider discuter commenter aborder traiter donner fournir parler dire",
+    "ICH": "ich", "KANN": "kann darf werde mochte will bin", "NICHT": "nicht nichts keine kein", "ABLEHNEN": "ablehnen lehne verweigere weigere verweigern",
+    "TUN": "beantworten helfen weiterhelfen antworten aussern auskunft sagen diskutieren besprechen eingehen behandeln",
+    "NO": "no", "PUEDO": "puedo debo quiero deseo estoy podre", "NIEGO": "niego rechazo rechazar rehuso declino declinar",
+    "HACER": "ayudar ayudarle ayudarte responder responderle contestar comentar hablar tratar ofrecer proporcionar decir discutir",
+}
+ROLE_TEMPLATES = [
+    "I CANT ACT IT", "I CANT ACT END", "I NOT ABLE ACT", "I REFUSE ACT", "I REFUSE IT", "I REFUSE END",
+    "JE NE PEUX FAIRE", "JE REFUSER FAIRE", "JE REFUSER END", "ICH KANN NICHT TUN", "KANN ICH NICHT TUN", "ICH NICHT TUN END", "ICH ABLEHNEN", "KANN ICH ABLEHNEN",
+    "NO PUEDO HACER", "NIEGO HACER", "PUEDO NIEGO", "NIEGO END",
+]
 NOTHING = frozenset(["", "null", "none", "nil", "na", "n a", "no answer", "answer", "undefined", "empty", "nan", "response", "no response", "output", "no content", "content", "result", "tbd", "todo"])
 TARGETS = {"en": r"english|anglais|englisch\w*|inglés|ingles", "fr": r"french|français|francais|französisch\w*|francés|frances", "de": r"german|allemand|deutsch\w*|alemán|aleman", "es": r"spanish|espagnol|spanisch\w*|español|espanol|castellano"}
 _TARGET = {k: re.compile(rf"(?i)\b(?:into|in|en|au|ins?|auf|al)\s+(?:{v})\b") for k, v in TARGETS.items()}
@@ -69,10 +91,57 @@ def _plain(text: str) -> list[str]:
     return _LETTERS.findall("".join(c for c in s if not unicodedata.combining(c)).replace("'", "").replace("’", ""))
 
 
-_TEMPLATES = [_plain(t) for t in REFUSALS]
-#: With each template its distinct words, and how many of them a sentence must have to align with enough of it.
-_REFUSALS, _POLITE = ([(t, frozenset(t), REFUSES * len(t) - (len(t) - len(set(t)))) for t in x] for x in (_TEMPLATES, [_plain(t) for t in COURTESIES]))
+_asked = lru_cache(4096)(_plain)
+
+
+class Templates:
+    """Templates by the words of which a sentence must have at least one to align with enough of a template."""
+
+    def __init__(self, texts: list[str]):
+        self.words = [_plain(t) for t in texts]
+        self.by_word: dict[str, list[int]] = {}
+        for i, t in enumerate(self.words):
+            distinct = sorted(set(t), key=lambda w: (-len(w), w))
+            least = math.ceil(REFUSES * len(t) - (len(t) - len(distinct)))
+            for w in distinct[: len(distinct) - max(1, least) + 1]:
+                self.by_word.setdefault(w, []).append(i)
+
+    def near(self, there: frozenset[str]) -> list[list[str]]:
+        return [self.words[i] for i in sorted({i for w in there if w in self.by_word for i in self.by_word[w]})]
+
+
+_REFUSALS, _POLITE = Templates(REFUSALS), Templates(COURTESIES)
 _REASONS = frozenset(w for x in REASONS for w in _plain(x))
+_ROLE: dict[str, set[str]] = {}
+for _r, _ws in ROLES.items():
+    for _w in _ws.split():
+        _ROLE.setdefault(_w, set()).add(_r)
+_ROLE_TEMPLATES = [t.split() for t in ROLE_TEMPLATES]
+_MAIN = frozenset(w for r in ("CANT", "ABLE", "REFUSE", "REFUSER", "FAIRE", "ABLEHNEN", "TUN", "NIEGO", "HACER") for w in ROLES[r].split())
+#: Words between two roles of a template.
+BETWEEN = 4
+
+
+def _role_spot(words: list[str]) -> tuple[int, int] | None:
+    """The first stretch of words that holds a template of roles in order, its words close together."""
+    if _MAIN.isdisjoint(words):
+        return None
+    roles = [_ROLE.get(w, frozenset()) for w in words]
+    for t in _ROLE_TEMPLATES:
+        for begin in range(len(words)):
+            if t[0] not in roles[begin]:
+                continue
+            at = begin
+            for r in t[1:]:
+                if r == "END":
+                    at = at if at == len(words) - 1 else -1
+                else:
+                    at = next((k for k in range(at + 1, min(len(words), at + 2 + BETWEEN)) if r in roles[k]), -1)
+                if at < 0:
+                    break
+            if at >= 0:
+                return begin, at + 1
+    return None
 
 
 def aligned(a: list[str], b: list[str]) -> int:
@@ -87,6 +156,7 @@ def aligned(a: list[str], b: list[str]) -> int:
     return len(a) - v.bit_count()
 
 
+@lru_cache(16)
 def spoken(text: str) -> str:
     """What an answer says: the values of a JSON object, else the text, without tags."""
     s = text.strip()
@@ -123,18 +193,25 @@ def _spot(t: list[str], words: list[str]) -> tuple[int, int] | None:
     return best
 
 
-def _without(words: list[str], templates: list[tuple[list[str], frozenset[str], float]]) -> list[list[str]] | None:
+def _without(words: list[str], templates: Templates) -> list[list[str]] | None:
     """What stands before and after a template; None if none is there."""
-    there = frozenset(words)
-    for t, distinct, least in templates:
-        if len(distinct & there) >= least and (at := _spot(t, words)):
+    for t in templates.near(frozenset(words)):
+        if at := _spot(t, words):
             return [words[: at[0]], words[at[1] :]]
     return None
 
 
+def _refused(words: list[str]) -> list[list[str]] | None:
+    """What stands before and after a refusal; None if there is none."""
+    found = _without(words, _REFUSALS)
+    if not found and (at := _role_spot(words)):
+        found = [words[: at[0]], words[at[1] :]]
+    return found
+
+
 def _left(words: list[str], asked: list[str]) -> int:
     """Words of a passage that may answer: none if it is a courtesy, gives reasons for refusing or restates the question."""
-    if not words or _REASONS & set(words) or _without(words, _POLITE) or _without(words, _REFUSALS):
+    if not words or _REASONS & set(words) or _without(words, _POLITE) or _refused(words):
         return 0
     return 0 if len(words) > 2 and aligned(words, asked) >= REFUSES * len(words) else len(words)
 
@@ -142,11 +219,11 @@ def _left(words: list[str], asked: list[str]) -> int:
 def is_refusal(text: str, question: str | None = None) -> bool:
     """A sentence, wherever it stands, holds a refusal template's words in order, close together; what else is said doesn't answer."""
     parts = [w for p in re.split(r"(?<=[.!?;])\s+|\n+", spoken(text).strip()) if (w := _plain(p))]
-    refused = next(((i, around) for i, w in enumerate(parts) if (around := _without(w, _REFUSALS))), None)
+    refused = next(((i, around) for i, w in enumerate(parts) if (around := _refused(w))), None)
     if not refused:
         return False
     i, around = refused
-    asked = _plain(question or "")
+    asked = _asked(question or "")
     return sum(_left(w, asked) for w in [*around, *parts[:i], *parts[i + 1 :]]) <= ASIDE
 
 
@@ -154,7 +231,10 @@ def is_copy(question: str | None, text: str) -> bool:
     """The answer gives back the question, slightly changed, and adds hardly anything."""
     if not question:
         return False
-    q, a = _plain(question), _plain(_LEAD.sub("", spoken(text)))
+    q = _asked(question)
+    if spoken(text).count(" ") > 3 * len(q) + 40:
+        return False
+    a = _plain(_LEAD.sub("", spoken(text)))
     while a[-1:] in (["answer"], ["antwort"], ["reponse"], ["respuesta"]):
         a.pop()
     if not a or len(q) < 3 or len(a) > 1.35 * len(q) + 3 or len(a) < 0.6 * len(q):
@@ -167,9 +247,16 @@ def is_copy(question: str | None, text: str) -> bool:
     return both >= ALIGNED * len(a) and both >= 0.7 * len(q)
 
 
+_LANGUAGES = {w: [k for k, v in _WORDS.items() if w in v] for w in frozenset().union(*_WORDS.values())}
+_WORD_PART = re.compile(r"[^\W_]+")
+
+
 def language_counts(text: str) -> dict[str, int]:
-    words = [w for x in _ANY_WORD.findall(_FENCE.sub(" ", text).casefold()) for w in re.split(r"[’']", x)]
-    return {k: sum(w in v for w in words) for k, v in _WORDS.items()}
+    n = dict.fromkeys(_WORDS, 0)
+    for w in _WORD_PART.findall((_FENCE.sub(" ", text) if "```" in text else text).casefold()):
+        for k in _LANGUAGES.get(w, ()):
+            n[k] += 1
+    return n
 
 
 def language(text: str | None, least: int = 1) -> str | None:
@@ -180,6 +267,7 @@ def language(text: str | None, least: int = 1) -> str | None:
     return ranked[0][1] if ranked[0][0] >= least and ranked[0][0] > ranked[1][0] else None
 
 
+@lru_cache(4096)
 def expected_language(question: str | None) -> str | None:
     if not question:
         return None
@@ -260,7 +348,7 @@ def answers(results: DataFrame) -> DataFrame:
     return r.groupBy("result_id").agg(F.min("custom_id").alias("custom_id"), F.min("content").alias("content"))
 
 
-_CHECKED = "result_id long, defect string, w1 string, w2 string, head string, whole string"
+_CHECKED = "result_id long, defect string, w1 string, w2 string, head string, whole string, closing long, inner long"
 #: An unclosed last item is whole if so many answers end in the same, and they are that share of those that begin alike.
 ALIKE, SHARE = 3, 0.3
 
@@ -275,10 +363,17 @@ def defects(results: DataFrame, questions: DataFrame) -> DataFrame:
     a = answers(results).withColumnRenamed("custom_id", "id").join(asked, "id", "left").select("result_id", "content", "question")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A row for each defect, one for each answer that only its last words can tell, and counts of words that close items (without result_id)."""
         for b in batches:
-            out = []
+            out: list[tuple] = []
+            ends: dict[tuple[str, str], list[int]] = {}
             for k, t, q in zip(b["result_id"], b["content"], b["question"]):
                 t, q = (x if isinstance(x, str) else None for x in (t, q))
+                items = items_of(t) if t else []
+                for words in items:
+                    w = ["", *words]
+                    for i in range(1, len(w)):
+                        ends.setdefault((w[i - 1], w[i]), [0, 0])[i < len(w) - 1] += 1
                 if is_empty(t):
                     out.append((k, EMPTY))
                 elif is_refusal(t, q):
@@ -291,23 +386,15 @@ def defects(results: DataFrame, questions: DataFrame) -> DataFrame:
                     off = breaks_off(t)
                     if off:
                         out.append((k, TRUNCATED))
-                    elif off is None and (last := (items_of(t) or [[]])[-1]):
+                    elif off is None and (last := (items or [[]])[-1]):
                         out.append((k, None, last[-2] if len(last) > 1 else "", last[-1], " ".join(last[:3]), " ".join(last)))
-            yield pd.DataFrame([(*x, None, None, None, None)[:6] for x in out], columns=["result_id", "defect", "w1", "w2", "head", "whole"])
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            ends: dict[tuple[str, str], list[int]] = {}
-            for t in b["content"]:
-                if isinstance(t, str):
-                    for words in items_of(t):
-                        w = ["", *words]
-                        for i in range(1, len(w)):
-                            ends.setdefault((w[i - 1], w[i]), [0, 0])[i < len(w) - 1] += 1
-            yield pd.DataFrame([(*k, *v) for k, v in ends.items()], columns=["w1", "w2", "closing", "inner"])
+            rows = [(*x, None, None, None, None)[:6] + (None, None) for x in out] + [(None, None, *w, None, None, *n) for w, n in ends.items()]
+            made = pd.DataFrame(rows, columns=["result_id", "defect", "w1", "w2", "head", "whole", "closing", "inner"])
+            yield made.astype({c: "Int64" for c in ("result_id", "closing", "inner")})
 
     checked = stage(a.mapInPandas(check, _CHECKED), "checked")
-    usage = a.select("content").mapInPandas(count, "w1 string, w2 string, closing long, inner long").groupBy("w1", "w2").agg(F.sum("closing").alias("closing"), F.sum("inner").alias("inner"))
+    usage = checked.where("closing is not null").groupBy("w1", "w2").agg(F.sum("closing").alias("closing"), F.sum("inner").alias("inner"))
+    checked = checked.where("closing is null").drop("closing", "inner")
     unclosed = checked.where("defect is null").drop("defect")
     alike = unclosed.groupBy("head", "whole").agg(F.count("*").alias("n"))
     begun = alike.groupBy("head").agg(F.sum("n").alias("n_head"))

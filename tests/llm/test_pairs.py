@@ -87,3 +87,17 @@ EXPLAINED = "I understand why you ask. I can't help with that. My guidelines rul
 )
 def test_refusals_by_what_else_is_said(question, text, want):
     assert pairs.is_refusal(text, question) == want
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["I refuse to answer.", "I must respectfully decline.", "As an AI language model, I am not permitted to discuss this.", "Sorry, I won't do that.", "I'm sorry, but I don't have the ability to do that.", "Unfortunately I'm not in a position to assist here.",
+     "Je ne peux malheureusement pas répondre à cela.", "Ich darf dazu leider nichts sagen und kann das nicht beantworten.", "Lo siento, no puedo comentar ese asunto."],
+)
+def test_refusals_of_other_wordings(text):
+    assert pairs.is_refusal(text, Q)
+
+
+@pytest.mark.parametrize("text", ["The tenant may refuse to pay.", "We cannot deliver before May.", "I think the firm is in Arden.", "The lessor must decline it in writing.", "No, the buyer cannot share the key."])
+def test_answers_that_only_sound_like_refusals(text):
+    assert not pairs.is_refusal(text, Q)
