@@ -2,8 +2,9 @@
 
 A name is read into its own words (an organisation's names, a person's surname), what it is about, and what tells entities apart:
 a fund's number, a branch's place, a generation. Equal readings are one class, however many records share it. Classes are indexed by
-suffixes of their own words, of a minimum length, together with a letter or ending of the other word (and by both words'
-first letters, for words misspelt near both ends) and with what tells entities apart. A block of many
+suffixes of their own words, of a minimum length, together with a letter or ending of the other word (and by the suffixes of the
+reversed words, for words misspelt near their ends) and with what tells entities apart. Two words that nothing marks as an
+organisation or a person may be either, and are indexed as both. A block of many
 classes is compared in pieces; no pair in it is left out. Pairs of classes in a block are compared by
 their words' longest common subsequences, bit-parallel over whole columns. Links between classes are closed by the
 partitioned union-find of ``groups``; pairs of records are made within entities only.
@@ -108,7 +109,7 @@ def fold(word: str) -> str:
 
 
 def read_name(name: str | None) -> tuple[str, str, str, str, str, str] | None:
-    """(kind, apart, one, two, first, middle): org or person, what sets it apart, its own words in order, given names; None: no name."""
+    """(kind, apart, one, two, first, middle): org, person or either, what sets it apart, its own words in order, given names; None: no name."""
     if name is None:
         return None
     s = unicodedata.normalize("NFKD", name)
@@ -170,7 +171,8 @@ def read_name(name: str | None) -> tuple[str, str, str, str, str, str] | None:
         own = sorted(sorted(own, key=lambda w: (-len(w), w))[:2], key=own.index)
     own = [fold(w) for w in own]
     one, two = sorted((own + [""])[:2], reverse=True) if len(own) > 1 else (own[0] if own else s, "")
-    return "org", apart, one, two, "", ""
+    either = not has_form and len(own) == 2 == len(words) and "&" not in s and "+" not in s and all(w.isalpha() for w in own)
+    return "either" if either else "org", apart, one, two, "", ""
 
 
 def readings(names: DataFrame, key: str = "id", name: str = "name") -> DataFrame:
@@ -200,17 +202,21 @@ def _keys(c: DataFrame) -> DataFrame:
     letter = F.left("first", F.lit(1))
     person = [F.concat_ws("|", F.lit("p"), tail(one, SUFFIX), letter), F.concat_ws("|", F.lit("q"), head(one, 4), letter)]
     heads = F.concat_ws("|", F.lit("c"), head(F.least(one, two), 3), head(F.greatest(one, two), 3))
-    keys = F.when(F.col("kind") == "person", F.array(*person)).when(two == "", F.array(*org(one, two))).otherwise(F.array(*org(one, two), *org(two, one), heads))
+    named = [F.concat_ws("|", F.lit("p"), tail(t, SUFFIX), head(o, 1)) for t, o in ((one, two), (two, one))]
+    both = [*org(one, two), *org(two, one), heads]
+    keys = F.when(F.col("kind") == "person", F.array(*person)).when(two == "", F.array(*org(one, two))).when(F.col("kind") == "either", F.array(*both, *named)).otherwise(F.array(*both))
     return c.select("class", "apart", F.explode(keys).alias("key")).select("class", F.concat_ws("|", "key", "apart").alias("block"))
 
 
 def same_entity(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
     """Whether readings a and b, row by row, are spellings of one name."""
     ok = np.zeros(len(a), bool)
-    alike = (a["apart"].to_numpy() == b["apart"].to_numpy()) & (a["kind"].to_numpy() == b["kind"].to_numpy())
-    person = a["kind"].to_numpy() == "person"
+    alike = a["apart"].to_numpy() == b["apart"].to_numpy()
+    x, y = a["kind"].to_numpy(), b["kind"].to_numpy()
+    person, org = (x == "person") & (y == "person"), (x != "person") & (y != "person")
     paired = (a["two"].to_numpy() != "") & (b["two"].to_numpy() != "")
-    for rows, compare in ((alike & person, _same_person), (alike & ~person & paired, _same_pair), (alike & ~person & ~paired, _same_joined)):
+    unsure = (x == "either") & (y == "person") | (x == "person") & (y == "either")
+    for rows, compare in ((alike & person, _same_person), (alike & org & paired, _same_pair), (alike & org & ~paired, _same_joined), (alike & unsure, _perhaps_person)):
         if rows.any():
             ok[rows] = compare(a[rows], b[rows])
     return ok
@@ -228,6 +234,17 @@ def _same_person(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
     return given & middle & (_ratios(a["one"].tolist(), b["one"].tolist())[2] >= SURNAME)
 
 
+def _perhaps_person(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
+    """One of each two is a person, the other two words of which either may be the surname; the given name must begin alike, or be the same."""
+    swap = a["kind"].to_numpy() == "person"
+    p, q = ({f: np.where(swap, x[f], y[f]).tolist() for f in ("one", "two", "first")} for x, y in ((a, b), (b, a)))
+    ok = np.zeros(len(a), bool)
+    for surname, given in (("one", "two"), ("two", "one")):
+        begins = np.array([bool(f) and (g == f or len(f) == 1 and g.startswith(f)) for f, g in zip(p["first"], q[given])], bool)
+        ok |= begins & (_ratios(p["one"], q[surname])[2] >= SURNAME)
+    return ok
+
+
 def _same_pair(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
     one, two, three, four = (x.tolist() for x in (a["one"], a["two"], b["one"], b["two"]))
     ok = np.zeros(len(a), bool)
@@ -265,7 +282,7 @@ def entities(names: DataFrame, key: str = "id", name: str = "name", common: int
     y = blocks.select("block", F.col("class").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     pairs = x.join(y, ["block", "part"]).where("x < y").select("x", "y").distinct()
     left, right = (classes.select(F.col("class").alias(p), F.struct(*fields).alias(f"{p}_name")) for p in ("x", "y"))
-    both = pairs.join(left, "x").join(right, "y").where("x_name.kind = y_name.kind and x_name.apart = y_name.apart")
+    both = pairs.join(left, "x").join(right, "y").where("x_name.apart = y_name.apart and (x_name.kind = y_name.kind or x_name.kind = 'either' or y_name.kind = 'either')")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

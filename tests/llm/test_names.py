@@ -13,6 +13,7 @@ from millrace.llm import names
         ("Tovuram, Bill J. Jr.", ("person", "jr", "tovuram", "", "william", "j")),
         ("Hon. William Tovuram III, Trustee", ("person", "iii", "tovuram", "", "william", "")),
         ("W  TOVURAM, SR.", ("person", "sr", "tovuram", "", "w", "")),
+        ("Priya Raghunathan", ("either", "", "raghunathan", "priia", "", "")),
         (" n/a ", None),
         ("", None),
         (None, None),
@@ -66,3 +67,8 @@ def test_large_blocks_compare_all_their_pairs(spark):
     twins = [("t1", "Gregory Hogaudibor"), ("t2", "Gregory K Hogaudibor")]
     assert ("t1", "t2") in found(spark, crowd + twins, [], common=1)
     assert found(spark, crowd + twins, [], common=1) == found(spark, crowd + twins, [], common=1000)
+
+
+def test_two_words_may_be_a_person(spark):
+    rows = [("a", "Priya Raghunathan"), ("b", "P. Raghunathan"), ("c", "Raghunatan, Priya"), ("d", "Q. Raghunathan"), ("e", "Raghunathan Priya Ltd"), ("f", "Q Solomon")]
+    assert found(spark, rows, []) == [("a", "b"), ("a", "c"), ("a", "e"), ("b", "c"), ("b", "e"), ("c", "e")]
