@@ -5,11 +5,13 @@ be careless with one label only, or be wrong more often than right. Accuracies a
 *other* annotators (leave-one-out) and smoothed; weights and consensus alternate until no accuracy moves any more.
 
 Votes are laid out by item once. A round is one pass: the annotators' weights join (a small table, broadcast only as its size
-allows), a window over the item sums them, and partial sums by annotator are all that is shuffled.
+allows), a window over the item sums them, and partial sums by annotator are all that is shuffled. The laid out votes are held only
+until the items' result is written; a lost executor's part is computed again.
 """
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -21,15 +23,21 @@ from millrace.storage import stage
 #: Added right and wrong votes of an annotator on each label.
 RIGHT, WRONG = 1.5, 1.0
 TOLERANCE, MOST_ROUNDS = 1e-3, 40
+#: Most annotators whose weights are sent to every task; with more, the votes are joined with them by shuffling.
+MOST_BROADCAST_ROWS = 200_000
 
 
 @dataclass
 class Consensus:
-    """items: (item, p_true, n_votes, agreement); annotators: (annotator, n_votes, hit_rate, reject_rate, reliability)."""
+    """items: (item, p_true, n_votes, agreement); annotators: (annotator, n_votes, hit_rate, reject_rate, reliability).
+
+    converged: whether the accuracies came to rest within the rounds allowed; if not, a warning is given as well.
+    """
 
     items: DataFrame
     annotators: DataFrame
     rounds: int
+    converged: bool
 
 
 def votes_of(results: DataFrame) -> DataFrame:
@@ -73,27 +81,30 @@ def reweighted_votes(votes: DataFrame, tolerance: float = TOLERANCE, most_rounds
         )
 
     def scored(w: DataFrame) -> DataFrame:
-        rows = laid.join(w.drop("n_votes"), "annotator")
+        rows = laid.join(F.broadcast(w.drop("n_votes")) if few else w.drop("n_votes"), "annotator")
         c = F.when(F.col("v") == 1, F.log(F.col("hit") / (1 - F.col("reject")))).otherwise(F.log((1 - F.col("hit")) / F.col("reject")))
         rows = rows.withColumn("c", c).withColumn("all", F.sum("c").over(own) + F.log(F.col("prior") / (1 - F.col("prior"))))
         p = lambda x: 1 / (1 + F.exp(-x))
         return rows.select("item", "annotator", "v", "m", "yes", p(F.col("all") - F.col("c")).alias("others"), p(F.col("all")).alias("p"))
 
     w = stage(rates(laid.withColumn("others", rest).withColumn("p", F.col("yes") / F.col("m"))).coalesce(1), "weights")
-    rounds = 0
-    while rounds < most_rounds:
+    few = w.count() <= MOST_BROADCAST_ROWS
+    rounds, converged = 0, False
+    while rounds < most_rounds and not converged:
         rounds += 1
         new = stage(rates(scored(w)).coalesce(1), "weights")
         moved = new.join(w.select("annotator", F.col("hit").alias("h"), F.col("reject").alias("r")), "annotator").agg(F.max(F.greatest(F.abs(F.col("hit") - F.col("h")), F.abs(F.col("reject") - F.col("r"))))).first()[0]
         w = new
-        if moved is None or moved < tolerance:
-            break
+        converged = moved is None or moved < tolerance
+    if not converged:
+        warnings.warn(f"accuracies still moved by {moved} after {rounds} rounds", RuntimeWarning, stacklevel=2)
     m, yes = F.col("m"), F.col("yes")
     pairs = F.when(m > 1, (yes * (yes - 1) + (m - yes) * (m - yes - 1)) / (m * (m - 1)))
     items = scored(w).groupBy("item").agg(F.first("p").alias("p_true"), F.first("m").alias("m"), F.first("yes").alias("yes"))
-    items = items.select("item", "p_true", m.alias("n_votes"), pairs.alias("agreement"))
+    items = stage(items.select("item", "p_true", m.alias("n_votes"), pairs.alias("agreement")), "consensus")
+    laid.unpersist()
     reliability = (F.col("hit") + F.col("reject")) / 2
-    return Consensus(items, w.select("annotator", "n_votes", F.col("hit").alias("hit_rate"), F.col("reject").alias("reject_rate"), reliability.alias("reliability")), rounds)
+    return Consensus(items, w.select("annotator", "n_votes", F.col("hit").alias("hit_rate"), F.col("reject").alias("reject_rate"), reliability.alias("reliability")), rounds, converged)
 
 
 def agreement(votes: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import pytest
+
 import math
 import random
 
@@ -86,3 +88,10 @@ def test_rows(spark):
     got = {r.sample_id: r.label for r in consensus.sample_labels(spark.createDataFrame(rows, schema)).collect()}
     assert got == {"a": "bug", "b": "no_bug", "c": "no_bug", "d": "no_bug"}
     assert consensus.sample_labels(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_rounds_that_do_not_suffice_are_reported(spark):
+    votes = spark.createDataFrame([(f"s{i}", f"p{j}", (i * j) % 3 > 0) for i in range(12) for j in range(5)], "item string, annotator string, vote boolean")
+    with pytest.warns(RuntimeWarning, match="after 1 rounds"):
+        assert not consensus.reweighted_votes(votes, tolerance=0.0, most_rounds=1).converged
+    assert consensus.reweighted_votes(votes).converged
