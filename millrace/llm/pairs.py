@@ -86,9 +86,13 @@ _FENCE = re.compile(r"(?s)```.*?(?:```|$)")
 _LEAD = re.compile(r"(?i)^\s*(?:sure|certainly|of course|good question|here you go|in short|here is the reasoning|question|you asked|please help|quick one|answer|q|claro|en resumen|bien sûr|en bref|gerne|kurz gesagt|buena pregunta|bonne question|gute frage)\s*[.:,!-]+\s*")
 
 
+_MARKS = {c: None for c in range(0x300, 0x1E000) if unicodedata.combining(chr(c))} | {c: None for c in [*range(0xFE20, 0xFE30), ord("'"), ord("’")]}
+
+
 def _plain(text: str) -> list[str]:
-    s = unicodedata.normalize("NFKD", text.casefold())
-    return _LETTERS.findall("".join(c for c in s if not unicodedata.combining(c)).replace("'", "").replace("’", ""))
+    if text.isascii():
+        return _LETTERS.findall(text.lower().replace("'", ""))
+    return _LETTERS.findall(unicodedata.normalize("NFKD", text.casefold()).translate(_MARKS))
 
 
 _asked = lru_cache(4096)(_plain)
@@ -295,6 +299,8 @@ def is_foreign(question: str | None, text: str) -> bool:
 
 
 def _shape(word: str, first: bool) -> str:
+    if word.islower():
+        return word
     if word[0].isdigit():
         return "9"
     return "N" if word[0].isupper() and not first else word.casefold()

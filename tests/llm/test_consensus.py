@@ -1,8 +1,8 @@
-import pytest
-
 import math
 import random
 
+import pytest
+
 from millrace.llm import consensus
 
 SCHEMA = "item string, annotator string, vote boolean"
