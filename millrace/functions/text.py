@@ -5,8 +5,6 @@ Null in, null out, unless said otherwise. White space is Unicode white space.
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -124,15 +122,21 @@ def first_paragraph(c: str | Column, most: int = 500) -> Column:
     return strip(F.when(F.contains(s, F.lit("\n\n")), F.substring_index(s, "\n\n", 1)).otherwise(F.substring(s, 1, most)))
 
 
-def json_text(c: str | Column) -> Column:
-    """The JSON in a model's reply as text: the reply itself, a fenced block, the widest braces or brackets; null if none parses."""
+def json_text(c: str | Column, lists: bool = True) -> Column:
+    """The JSON in a model's reply as text: the reply itself, a fenced block, the widest braces or, with lists, brackets; null if none parses."""
     s = strip(_col(c))
     fence = F.regexp_extract(s, r"(?s)```(?:json)?\s*\n?(.*?)```", 1)
-    forms = [s, strip(fence), F.regexp_extract(s, r"(?s)\{.*\}", 0), F.regexp_extract(s, r"(?s)\[.*\]", 0)]
+    forms = [s, strip(fence), F.regexp_extract(s, r"(?s)\{.*\}", 0), *([F.regexp_extract(s, r"(?s)\[.*\]", 0)] if lists else [])]
     ok = lambda x: F.when((x.startswith("{") | x.startswith("[")) & F.try_parse_json(x).isNotNull(), x)
     return F.coalesce(*map(ok, forms))
 
 
+def json_or_empty(c: str | Column) -> Column:
+    """A reply without its leading fence, if that is JSON; else an empty object."""
+    s = strip(F.regexp_replace(strip(_col(c)), r"^```(?:json)?|```$", ""))
+    return F.when(F.try_parse_json(s).isNotNull() & (s.startswith("{") | s.startswith("[")), s).otherwise("{}")
+
+
 def clean_whitespace(c: str | Column) -> Column:
     """Lines without trailing white space, at most one blank line in a row, none at either end."""
     s = F.regexp_replace(_col(c), r"[ \t\r\x0b\f]+(\n|$)", "$1")
@@ -145,9 +149,61 @@ def strip_marked_lines(c: str | Column) -> Column:
     return F.array_join(lines, "\n")
 
 
-def any_of(conditions: list[Column]) -> Column:
-    return functools.reduce(lambda a, b: a | b, conditions)
+#: The weakness classes that are told apart.
+WEAKNESSES = [20, 22, 77, 78, 79, 89, 94, 119, 120, 125, 190, 200, 269, 276, 287, 352, 362, 400, 416, 434, 476, 502, 787, 798]
+#: Suffixes of images.
+IMAGES = ["jpg", "jpeg", "png", "gif", "webp"]
+
+
+def weakness_label(c: str | Column, known: list[int] = WEAKNESSES) -> Column:
+    """CWE-n of a reply that names a class, with or without its prefix, in any case; null if the class isn't known."""
+    s = F.upper(strip(_col(c)))
+    s = F.regexp_replace(F.when(s.startswith("CWE-"), F.substring(s, 5, 1_000_000)).when(s.startswith("CWE"), F.substring(s, 4, 1_000_000)).otherwise(s), r"^[\s:-]+", "")
+    return F.when(s.isin([str(k) for k in known]), F.concat(F.lit("CWE-"), s))
+
+
+def language_name(c: str | Column, default: str = "c") -> Column:
+    """A language in lower case, c++ as cpp; the default where it is null or empty."""
+    s = F.lower(strip(_col(c)))
+    return F.when(s.isin("c++", "cpp"), "cpp").when(truthy(s), s).otherwise(default)
+
+
+def cache_name(url: str | Column) -> Column:
+    """A file name for what lies at a URL: its SHA-256 and its suffix, if that is an image's, else jpg."""
+    u = _col(url)
+    last = F.lower(F.regexp_extract(F.regexp_replace(u, r"[?#].*$", ""), r"\.([A-Za-z0-9]+)$", 1))
+    return F.concat(F.sha2(u, 256), F.lit("."), F.when(last.isin(IMAGES), last).otherwise("jpg"))
+
+
+def urls(c: str | Column) -> Column:
+    """The web addresses in a text, in order, each once."""
+    return F.array_distinct(F.regexp_extract_all(_col(c), F.lit(r"https?://[^\s<>\"')\]]+"), F.lit(0)))
+
+
+def title_line(c: str | Column, most: int = 100) -> Column:
+    """The first line of a text's first characters."""
+    return F.split(F.substring(_col(c), 1, most), "\n", 2)[0]
+
+
+def query_lines(c: str | Column, most: int = 8) -> Column:
+    """The lines that are queries: longer than five characters and no SEARCH command; of more than ``most``, the first ones."""
+    lines = F.transform(F.split(_col(c), "\n"), strip)
+    return F.slice(F.filter(lines, lambda x: (F.length(x) > 5) & ~x.startswith("SEARCH")), 1, most)
+
+
+def stops_expansion(c: str | Column) -> Column:
+    """Whether a reply asks for a search instead of naming queries."""
+    return F.coalesce(strip(_col(c)).startswith("SEARCH"), F.lit(False))
+
+
+def filled(template: str, **values: Column) -> Column:
+    """A template with {name} places filled; {{ and }} stand for braces. Null if a value is null."""
+    out = F.lit(template.replace("{{", "\1").replace("}}", "\2"))
+    for k, v in values.items():
+        out = F.replace(out, F.lit("{%s}" % k), v)
+    return F.translate(out, "\1\2", "{}")
 
 
-def array_text(c: Column, sep: str = " ") -> Column:
-    return F.array_join(c, sep)
+def numbered_lines(items: Column) -> Column:
+    """Lines "1. item" in order."""
+    return F.array_join(F.transform(items, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")

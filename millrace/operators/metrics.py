@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -58,6 +58,44 @@ def triage(df: DataFrame, confidence: str, predicted: str, actual: str, high: fl
     return x.select("bucket", "n", share(F.col("right"), F.col("n")).alias("accuracy"), "false_negatives", "false_positives")
 
 
+def by_label(df: DataFrame, label: str, correct: str) -> DataFrame:
+    """(bucket, n, correct, accuracy) by a stated confidence in words: lower case, hyphens as underscores; only buckets with rows."""
+    bucket = F.replace(F.lower(F.trim(label)), F.lit("-"), F.lit("_"))
+    x = df.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.count_if(F.col(correct)).alias("correct"))
+    return x.withColumn("accuracy", F.round(share(F.col("correct"), F.col("n")), 6))
+
+
+def grouped(matrix: DataFrame, groups: dict[str, str], other: str) -> DataFrame:
+    """(name, support, answered, accuracy, accuracy_answered) of a confusion matrix by groups of classes; NONE is in no group.
+
+    Two denominators: all rows of the group, and those that have a prediction.
+    """
+    names = F.create_map(*[F.lit(x) for pair in groups.items() for x in pair])
+    group = lambda c: F.when(F.col(c) != "NONE", F.coalesce(F.try_element_at(names, F.lower(c)), F.lit(other)))
+    x = matrix.withColumns({"name": group("actual"), "said": group("predicted")})
+    right = F.sum(F.when(F.col("name") == F.col("said"), F.col("n")).otherwise(0))
+    x = x.groupBy("name").agg(F.sum("n").alias("support"), F.sum(F.when(F.col("said").isNotNull(), F.col("n")).otherwise(0)).alias("answered"), right.alias("right"))
+    return x.select("name", "support", "answered", share(F.col("right"), F.col("support")).alias("accuracy"), share(F.col("right"), F.col("answered")).alias("accuracy_answered"))
+
+
+def top_confusions(matrix: DataFrame, k: int) -> DataFrame:
+    """The k most frequent wrong predictions, NONE left out; a report of the top k."""
+    wrong = matrix.where((F.col("actual") != F.col("predicted")) & (F.col("predicted") != "NONE")).orderBy(F.desc("n"), "actual", "predicted").limit(k)
+    return wrong.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "actual", "predicted")))
+
+
+def elbow(subsets: DataFrame, metric: str, cost: str, name: str) -> DataFrame:
+    """The subset with the best metric for its cost; of equal ones the least name."""
+    return subsets.orderBy(F.desc(F.try_divide(F.col(metric), F.col(cost))), name).limit(1)
+
+
+def quality(df: DataFrame, score: str, by: str, passes: float = 3.5) -> DataFrame:
+    """(by, n, score, passed, pass_rate): mean score and share that passes; a missing score counts 0."""
+    s = F.coalesce(F.col(score), F.lit(0.0))
+    x = df.groupBy(by).agg(F.count("*").alias("n"), F.avg(s).alias(score), F.count_if(s >= passes).alias("passed"))
+    return x.withColumn("pass_rate", share(F.col("passed"), F.col("n")))
+
+
 def accuracy_by(df: DataFrame, correct: str, category: str, overall: str = "(all)") -> DataFrame:
     """(category, total, correct, accuracy) by category and over all, in one pass."""
     c = F.when(F.grouping(category) == 1, overall).otherwise(F.coalesce(F.col(category), F.lit("unknown")))

@@ -34,3 +34,10 @@ def first_per_group(df: DataFrame, group: str, n: int, *order: Column) -> DataFr
     """The first n rows of each group: the ranking filter lets Spark cut each task's rows to n before they are shuffled."""
     ranked = Window.partitionBy(group).orderBy(*order)
     return df.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= n)
+
+
+def priority_sample(df: DataFrame, key: str, weight: str, n: int) -> DataFrame:
+    """(key, frequent): the n / 2 rows of greatest weight, and as many of the others as make up n, drawn by a hash of the key."""
+    top = df.orderBy(F.desc(weight), key).limit(n // 2).select(key, F.lit(True).alias("frequent"))
+    rest = df.select(key).join(F.broadcast(top.select(key)), key, "left_anti")
+    return top.unionByName(rest.orderBy(F.md5(F.col(key)), key).limit(n - n // 2).select(key, F.lit(False).alias("frequent")))

@@ -43,10 +43,15 @@ def r6(c):
 
 # --- names and entities ---------------------------------------------------------------------------------------------------
 
+#: White space as the engine's Unicode classes have it; Python writes the characters into the SQL.
+_SPACE = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def _sql_endings(c: str) -> str:
+    c = f"trim(lower({c}), '{_SPACE}')"
     endings = ", ".join(f"'{e}'" for e in T.NAME_ENDINGS)
     cut = f"list_reduce(list_prepend({c}, [{endings}]), lambda n, e: case when ends_with(n, e) then left(n, length(n) - length(e)) else n end)"
-    return f"trim(regexp_replace(translate({cut}, '-,.', ' '), '\\s+', ' ', 'g'))"
+    return f"trim(regexp_replace(translate({cut}, '-,.', ' '), '[{_SPACE}]+', ' ', 'g'))"
 
 
 def _sql_tokens(c: str) -> str:
@@ -116,7 +121,7 @@ def origin_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""with m as (select *, {_sql_endings("trim(lower(name))")} as canonical from (select distinct * from company_records where name is not null and not regexp_matches(name, '[^\\x20-\\x7e]')))
+    f"""with m as (select *, {_sql_endings("name")} as canonical from (select distinct * from company_records where name is not null))
     select canonical, list_sort(list(distinct name)) as variants, count(*) as mention_count,
       arg_min(ticker, (created_at, id, ticker)) filter (where ticker <> '') as ticker, arg_max(exchange, (created_at, id, exchange)) filter (where exchange <> '') as exchange,
       list_slice(list_sort(list(distinct origin) filter (where origin <> '')), 1, 10) as origins
@@ -129,8 +134,8 @@ def cluster_merge(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""with w as (select distinct id, unnest(list_append(coalesce(aliases, []), name)) as form from ref_companies),
-    f as (select distinct id, {_sql_endings("trim(lower(form))")} as form from w),
-    s as (select distinct {_sql_endings("trim(lower(name))")} as seen from (select name_a as name from match_pairs union all select name_b from match_pairs) where name is not null and not regexp_matches(name, '[^\\x20-\\x7e]')),
+    f as (select distinct id, {_sql_endings("form")} as form from w),
+    s as (select distinct {_sql_endings("name")} as seen from (select name_a as name from match_pairs union all select name_b from match_pairs) where name is not null),
     h as (select distinct id from f join s on form = seen or (length(form) >= 4 and length(seen) >= 4 and (contains(seen, form) or contains(form, seen))) where form <> '' and seen <> '')
     select id, id in (select id from h) as found from (select distinct id from ref_companies)"""
 )
@@ -141,8 +146,8 @@ def reference_recall(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""with m as (select {_sql_endings("trim(lower(name))")} as norm, count(distinct name) as spellings, count(distinct id) as records
-      from company_records where name is not null and not regexp_matches(name, '[^\\x20-\\x7e]') group by 1)
+    f"""with m as (select {_sql_endings("name")} as norm, count(distinct name) as spellings, count(distinct id) as records
+      from company_records where name is not null group by 1)
     select norm, spellings, records from m where spellings > 1"""
 )
 def duplicate_clusters(spark: SparkSession, d: str) -> DataFrame:
@@ -217,7 +222,7 @@ _JOINED = """q as (select id, min(question) as question, min(answer) as answer,
   r as (select result_id, custom_id, model, response.body.choices[1].message.content as content from (select distinct * from batch_results where error is null))"""
 
 
-@query(f"with {_JOINED} select result_id, {_ANSWER} as answer from r where regexp_matches(content, '[0-9]')")
+@query(f"with {_JOINED} select result_id, {_ANSWER} as answer from r")
 def answer_extract(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "batch_results").where("error is null").distinct().withColumn("content", requests.content())
     return r.select("result_id", T.model_answer("content").alias("answer"))
@@ -405,7 +410,7 @@ def date_normalise(spark: SparkSession, d: str) -> DataFrame:
 
 
 _FIELDS = ("date", "total", "vendor_name")
-_LONG = rf"""u as (select distinct receipt_id, run, model, d as date, round(total, 2) as total, trim(regexp_replace(lower(vendor_name), '\s+', ' ', 'g')) as vendor_name from {_DATES} where not regexp_matches(coalesce(vendor_name, ''), '[^\x20-\x7e]')),
+_LONG = rf"""u as (select distinct receipt_id, run, model, d as date, round(total, 2) as total, trim(regexp_replace(lower(vendor_name), '[{_SPACE}]+', ' ', 'g')) as vendor_name from {_DATES}),
   x as (select receipt_id, run, model, 'date' as field, date as value from u union all select receipt_id, run, model, 'total', printf('%.2f', total) from u union all select receipt_id, run, model, 'vendor_name', vendor_name from u)"""
 
 
@@ -471,11 +476,10 @@ _WS = "chr(32)||chr(9)||chr(10)||chr(13)"
 
 
 @query(
-    f"""with p as (select doc_id, trim(case when contains(text, chr(10)||chr(10)) then split_part(text, chr(10)||chr(10), 1) else substr(text, 1, 500) end, {_WS}) as paragraph from documents where not regexp_matches(text, '[^\\x09\\x0a\\x0d\\x20-\\x7e]'))
+    f"""with p as (select doc_id, trim(case when contains(text, chr(10)||chr(10)) then split_part(text, chr(10)||chr(10), 1) else substr(text, 1, 500) end, '{_SPACE}') as paragraph from documents)
     select doc_id, paragraph from p where length(paragraph) >= 50"""
 )
 def first_paragraph(spark: SparkSession, d: str) -> DataFrame:
-    """Of every document, in any script; the SQL states those of plain ASCII only."""
     x = table(spark, d, "documents").select("doc_id", T.first_paragraph("text").alias("paragraph"))
     return x.where(F.length("paragraph") >= 50)
 

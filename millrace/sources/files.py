@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.ordinals import in_chunks, last_wins
@@ -40,7 +40,7 @@ def read_tsv(spark: SparkSession, path: str, required: str) -> DataFrame:
 
 
 def read_wide_json(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON document of ``fields`` and ``data`` rows as a table of strings."""
+    """A JSON document of ``fields`` and ``data`` rows as a table of strings. One document is one row, so it must fit in a task."""
     doc = spark.read.option("multiLine", True).schema("fields array<string>, data array<array<string>>").json(path)
     fields = doc.first()["fields"]
     row = doc.select(F.posexplode("data").alias("pos", "row"))
@@ -52,5 +52,25 @@ def write_requests(lines: DataFrame, path: str, per_chunk: int, *keys: str, colu
     in_chunks(lines, per_chunk, *keys).select("chunk", column).repartition("chunk").write.partitionBy("chunk").text(path)
 
 
-def write_jsonl(df: DataFrame, path: str) -> None:
-    df.write.option("ignoreNullFields", True).json(path)
+def write_jsonl(df: DataFrame, path: str) -> int:
+    """JSON lines without null fields; the number of rows written, counted while they are."""
+    rows = Observation()
+    df.observe(rows, F.count(F.lit(1)).alias("n")).write.option("ignoreNullFields", True).json(path)
+    return rows.get["n"]
+
+
+def read_named_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines of files or folders named results_<model>_n<N>, with model and n from the names."""
+    df = spark.read.schema(schema).option("recursiveFileLookup", True).json(path)
+    name = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B"))
+    part = lambda i: F.regexp_extract(name, r"results_([^/]+)_n(\d+)", i)
+    return df.select("*", part(1).alias("model"), part(2).cast("int").alias("n")).where("model <> ''")
+
+
+def read_topics(spark: SparkSession, path: str, column: str = "topic") -> DataFrame:
+    """(topic): topics of a CSV file with a header, or of JSON lines; an error if there is none."""
+    df = spark.read.option("header", True).csv(path) if path.endswith(".csv") else spark.read.schema(f"{column} string").json(path)
+    found = df.select(F.nullif(F.trim(column), F.lit("")).alias("topic")).where("topic is not null") if column in df.columns else df.limit(0)
+    if found.isEmpty():
+        raise ValueError(f"no {column} in {path}")
+    return found

@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,21 +38,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; a temporary one where none is named (tests)."""
+    """The folder all executors share, as the session names it; a temporary one where none is named and all runs on one machine (tests)."""
     found = spark.conf.get(CHECKPOINT, None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"{CHECKPOINT} must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
-def stage(df: DataFrame, name: str = "stage", mode: str | None = None) -> DataFrame:
+_STAGED: list[tuple[SparkSession, str]] = []
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    path = os.path.join(shared_dir(spark), "millrace", f"{name}-{uuid.uuid4().hex}")
+    _STAGED.append((spark, path))
+    return path
+
+
+@contextmanager
+def staged_scope() -> Iterator[None]:
+    """What is staged within is deleted at the end; a result must be written, or collected, before."""
+    begin = len(_STAGED)
+    try:
+        yield
+    finally:
+        for spark, path in _STAGED[begin:]:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        del _STAGED[begin:]
+
+
+def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut, and the table outlives lost executors.
 
     Unlike checkpoint(), the copy is columnar and compressed, so that later steps read only what they need, and the
     optimizer knows its size. An empty df keeps its schema.
     """
-    path = os.path.join(shared_dir(df.sparkSession), "millrace", f"{name}-{uuid.uuid4().hex}")
+    path = shared_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

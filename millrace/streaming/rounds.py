@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.storage import shared_dir
+from millrace.storage import shared_path
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over all that is available, with its state and output in the shared folder; the output as a table."""
     spark = stream.sparkSession
-    base = os.path.join(shared_dir(spark), "millrace", f"{name}-{uuid.uuid4().hex}")
+    base = shared_path(spark, name)
     if mode == "append":
         writer = stream.writeStream.format("parquet").option("path", f"{base}/out").outputMode("append")
     else:  # complete: each batch replaces the table

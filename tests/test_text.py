@@ -12,12 +12,12 @@ def one(spark, f, *values, kind="string"):
 CASES = [
     (lambda: T.normalize_string("x"), {" A  b  C\n": "a b c", "": "", None: None}),
     (lambda: T.strip_company_endings("x"), {"Acme Technologies, Inc.": "acme", "Blue-Sky Systems Corp": "blue sky", "inc": "inc", None: None, "A, LLC": "a"}),
-    (lambda: T.array_text(T.name_tokens("x")), {"The Acme & Co. (Holdings) Ltd": "acme", "Foo-Bar/Baz": "foo bar baz", "": "", None: None}),
+    (lambda: F.array_join(T.name_tokens("x"), " "), {"The Acme & Co. (Holdings) Ltd": "acme", "Foo-Bar/Baz": "foo bar baz", "": "", None: None}),
     (lambda: T.normalize_number("x"), {"RM 1,234.50": 1234.5, "$9.999": 10.0, "12 USD ": 12.0, "abc": None, "": None, None: None, "-3": -3.0}),
     (lambda: T.normalize_date("x"), {"2024-02-03T10": "2024-02-03", "05/04/24": "2024-04-05", "13.04.1999": "1999-04-13", "04-13-2024": "2024-04-13", "1/2/51": "1951-02-01", " May 3 ": "may 3", None: None}),
     (lambda: T.model_answer("x"), {"x ANSWER: 1\nANSWER: **1,234.0**\n": "1234.0", r"so \boxed{48}.": "48", "The answer is: 7e3 now": "7e3", "a = 5\nend": "5", "no number": None, "": None, None: None, "ANSWER: none\n\\boxed{3}": "3"}),
     (lambda: T.gold_answer("x"), {"why #### 1,200 ": "1200", "42": "42", None: None}),
-    (lambda: T.array_text(T.numbered_parts("x", 2), "|"), {"1. a\n2. b\n3. c": "a|b", "1. a": "a|", "": "|", None: None}),
+    (lambda: F.array_join(T.numbered_parts("x", 2), "|"), {"1. a\n2. b\n3. c": "a|b", "1. a": "a|", "": "|", None: None}),
     (lambda: T.first_paragraph("x", 5), {"ab\n\ncd": "ab", "abcdefgh": "abcde", None: None}),
     (lambda: T.json_text("x"), {'{"a": 1}': '{"a": 1}', 'x ```json\n{"a": 2}\n``` y': '{"a": 2}', 'so {"a": 3} ok': '{"a": 3}', "list [1, 2]": "[1, 2]", "{bad": None, "": None, None: None}),
     (lambda: T.before_last("x", "__run_"), {"a__run_1__run_2": "a__run_1", "b": None, None: None}),
