@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 
 from millrace.functions.similarity import with_lcs
 from millrace.functions.text import name_tokens, strip_company_endings
+from millrace.operators.ordinals import with_ordinal
 from millrace.storage import stage
 
-#: Most bytes of a list that is sent to every task.
-MOST_BROADCAST_ROWS = 100_000
-
 
 def scored_pairs(names: DataFrame, name: str = "name", threshold: int = 70, automatic: int = 95) -> DataFrame:
     """(name_a, name_b, fuzzy, score, band): pairs of distinct names that share a token and score at least the threshold.
@@ -24,32 +22,45 @@ def scored_pairs(names: DataFrame, name: str = "name", threshold: int = 70, auto
     least = max(0.0, (threshold - 60) / 40)
     n = names.select(F.col(name).alias("name")).where("name is not null").distinct()
     n = n.withColumn("tokens", name_tokens("name")).withColumn("clean", F.array_join("tokens", " ")).withColumn("tokens", F.array_distinct("tokens")).where("size(tokens) > 0")
-    n = stage(n, "names")
+    # ids are places in the names' order, so that the lesser id is the lesser name
+    n = stage(with_ordinal(n, "name", name="id"), "names")
     df = n.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    ranked = n.select("name", F.length("clean").alias("letters"), F.explode("tokens").alias("token")).join(df, "token").groupBy("name", "letters")
-    ranked = ranked.agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t")).select("name", "letters", F.col("t.token").alias("rare"), F.size("t").alias("m"))
+    ranked = n.select("id", F.length("clean").alias("letters"), F.explode("tokens").alias("token")).join(df, "token").groupBy("id", "letters")
+    ranked = ranked.agg(F.array_sort(F.collect_list(F.struct("df", F.xxhash64("token").alias("token")))).alias("t")).select("id", "letters", F.col("t.token").alias("rare"), F.size("t").alias("m"))
+    ranked = stage(ranked, "ranked")
     # for partners of k tokens, at least `need` tokens are shared: one of the first m - need + 1 rarest is
     most = int(ranked.agg(F.max("m")).first()[0] or 1)
     need = F.greatest(F.lit(1), F.ceil(F.lit(least) * (F.col("m") + F.col("k")) / (1 + least) - 1e-9))
-    sized = ranked.select("name", "rare", "m", "letters", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("k")).where(need <= F.least("m", "k"))
+    sized = ranked.select("id", "rare", "m", "letters", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("k")).where(need <= F.least("m", "k"))
     shared_least = F.explode(F.array_distinct(F.array(need, F.when((need == 1) & (F.col("m") > 1) & (F.col("k") > 1), F.lit(2)).otherwise(need)).cast("array<int>")))
     sized = sized.withColumn("need", shared_least)
-    keys = sized.select("name", "m", "k", "need", "letters", F.explode(F.slice("rare", 1, F.col("m") - F.col("need") + 1)).alias("token"))
-    a = keys.select(F.col("name").alias("name_a"), "m", "k", "need", "token", F.col("letters").alias("letters_a"))
-    b = keys.select(F.col("name").alias("name_b"), F.col("m").alias("k"), F.col("k").alias("m"), "need", "token", F.col("letters").alias("letters_b"))
-    # a pair that shares one token only must be almost the same otherwise: so many letters may be missing on either side
+    # a pair that shares one token only must be almost the same otherwise: so large a part of its letters may be missing on either side
+    sharing_one = F.ceil((threshold - F.lit(40.0) / (F.col("m") + F.col("k") - 1)) / 0.6 - 1e-9)
+    part = F.greatest(1 - (sharing_one - 0.5) / 100, F.lit(0.0)) + 1e-6
+    # such names meet by bands of lengths, next to each other, as wide as that part allows; which also splits frequent tokens
+    ratio = (1 + F.least(part, F.lit(0.9))) / (1 - F.least(part, F.lit(0.9)))
+    band = F.when(F.col("need") == 1, F.floor(F.log(F.greatest(F.col("letters"), F.lit(1)).cast("double")) / F.log(ratio) + 1e-9))
+    keys = sized.select("id", "m", "k", "need", "letters", band.cast("int").alias("band"), F.explode(F.slice("rare", 1, F.col("m") - F.col("need") + 1)).alias("token"))
+    a = keys.select(F.col("id").alias("id_a"), "m", "k", "need", "token", F.coalesce("band", F.lit(-9)).alias("band"), F.col("letters").alias("letters_a"))
+    near = F.explode(F.when(F.col("band").isNull(), F.array(F.lit(-9))).otherwise(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    b = keys.select(F.col("id").alias("id_b"), F.col("m").alias("k"), F.col("k").alias("m"), "need", "token", near.alias("band"), F.col("letters").alias("letters_b"))
     total, apart = F.col("letters_a") + F.col("letters_b"), F.abs(F.col("letters_a") - F.col("letters_b"))
-    fuzzy_least = F.ceil((threshold - F.lit(40.0) / (F.col("m") + F.col("k") - 1)) / 0.6 - 1e-9)
-    missing = total * (1 - (fuzzy_least - 0.5) / 100) + 1e-9
+    missing = total * (1 - (sharing_one - 0.5) / 100) + 1e-9
     close = (apart <= missing) & ((apart > 0) | (missing >= 2) | (F.col("m") + F.col("k") == 2))
-    pairs = a.join(b, ["token", "m", "k", "need"]).where((F.col("name_a") < F.col("name_b")) & ((F.col("need") > 1) | close)).select("name_a", "name_b").distinct()
+    pairs = a.join(b, ["token", "m", "k", "need", "band"]).where((F.col("id_a") < F.col("id_b")) & ((F.col("need") > 1) | close)).select("id_a", "id_b").distinct()
+    codes = n.select("id", F.transform("tokens", lambda t: F.xxhash64(t)).alias("tokens"), F.length("clean").alias("letters"))
     for side in ("a", "b"):
-        pairs = pairs.join(n.select(F.col("name").alias(f"name_{side}"), F.col("tokens").alias(f"tokens_{side}"), F.col("clean").alias(f"clean_{side}")), f"name_{side}")
+        pairs = pairs.join(codes.select(F.col("id").alias(f"id_{side}"), F.col("tokens").alias(f"tokens_{side}"), F.col("letters").alias(f"letters_{side}")), f"id_{side}")
     shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
     jaccard = shared / (F.size("tokens_a") + F.size("tokens_b") - shared)
+    length = F.col("letters_a") + F.col("letters_b")
+    bound = 60.0 * 2 * F.least("letters_a", "letters_b") / length + 40 * jaccard + 1  # no pair of these lengths scores more
+    pairs = stage(pairs.withColumn("jaccard", jaccard).where(bound >= threshold).select("id_a", "id_b", "jaccard"), "near-pairs")
+    # the names themselves come in only now
+    for side in ("a", "b"):
+        pairs = pairs.join(n.select(F.col("id").alias(f"id_{side}"), F.col("name").alias(f"name_{side}"), F.col("clean").alias(f"clean_{side}")), f"id_{side}")
+    pairs = pairs.select("name_a", "name_b", "clean_a", "clean_b", "jaccard")
     length = F.length("clean_a") + F.length("clean_b")
-    bound = 60.0 * 2 * F.least(F.length("clean_a"), F.length("clean_b")) / length + 40 * jaccard + 1  # no pair of these lengths scores more
-    pairs = pairs.withColumn("jaccard", jaccard).where(bound >= threshold).select("name_a", "name_b", "clean_a", "clean_b", "jaccard")
     scored = with_lcs(pairs, "clean_a", "clean_b")
     fuzzy = F.round(F.try_divide(200.0 * F.col("lcs"), length)).cast("int")
     scored = scored.withColumn("fuzzy", fuzzy).withColumn("score", (0.6 * F.col("fuzzy") + 0.4 * 100 * F.col("jaccard")).cast("int"))
@@ -74,12 +85,20 @@ def merged_clusters(mentions: DataFrame, name: str, order: str, first: dict[str,
 def found_in(wanted: DataFrame, names: DataFrame, key: str = "id", name: str = "name", aliases: str = "aliases") -> DataFrame:
     """(key, found): whether any of the names equals a wanted one or its aliases, or holds or is held by it, both normalised.
 
-    The wanted list must be a short one, which is checked; the names may be any number, and are reduced to distinct ones first.
+    Equal forms meet in a hash join. A form that holds another one holds its first four letters too: each shorter form is keyed by
+    them, each longer one by every four letters in a row, distinct forms only, and the pairs that meet are compared. Forms of under four letters must be equal.
     """
-    if wanted.count() > MOST_BROADCAST_ROWS:
-        raise ValueError(f"more than {MOST_BROADCAST_ROWS} wanted names")
-    forms = wanted.select(key, F.explode(F.array_distinct(F.transform(F.concat(F.array(F.col(name)), F.coalesce(F.col(aliases), F.array())), strip_company_endings))).alias("form")).where("form <> ''")
+    forms = wanted.select(key, F.explode(F.array_distinct(F.transform(F.concat(F.array(F.col(name)), F.coalesce(F.col(aliases), F.array().cast("array<string>"))), strip_company_endings))).alias("form")).where("form <> ''").distinct()
     seen = names.select(strip_company_endings("name").alias("seen")).where("seen <> ''").distinct()
-    long = (F.length("form") >= 4) & (F.length("seen") >= 4)
-    hit = seen.join(F.broadcast(forms), (F.col("form") == F.col("seen")) | long & (F.contains(F.col("seen"), F.col("form")) | F.contains(F.col("form"), F.col("seen"))))
-    return wanted.select(key).distinct().join(hit.select(key).distinct().withColumn("found", F.lit(True)), key, "left").select(key, F.coalesce("found", F.lit(False)).alias("found"))
+    distinct = forms.select("form").distinct()
+    equal = distinct.join(seen, F.col("form") == F.col("seen"), "left_semi")
+
+    def grams(df: DataFrame, c: str) -> DataFrame:
+        every = F.transform(F.sequence(F.lit(1), F.length(c) - 3), lambda i: F.substring(F.col(c), i, 4))
+        return df.where(F.length(c) >= 4).select(c, F.explode(F.array_distinct(every)).alias("gram"))
+
+    start = lambda df, c: df.where(F.length(c) >= 4).select(c, F.left(c, F.lit(4)).alias("gram"))
+    held = start(distinct, "form").join(grams(seen, "seen"), "gram").where(F.contains("seen", "form")).select("form")
+    holds = grams(distinct, "form").join(start(seen, "seen"), "gram").where(F.contains("form", "seen")).select("form")
+    hit = forms.join(equal.unionByName(held).unionByName(holds).distinct(), "form").select(key).distinct()
+    return wanted.select(key).distinct().join(hit.withColumn("found", F.lit(True)), key, "left").select(key, F.coalesce("found", F.lit(False)).alias("found"))

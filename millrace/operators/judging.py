@@ -13,7 +13,7 @@ PASSES = 0.7
 def reference_list(best: Column, correct: Column) -> Column:
     """Correct answers with the best one in front, if it is set and not among them; null counts as empty."""
     c = F.coalesce(correct, F.array().cast("array<string>"))
-    return F.when(F.coalesce(best != "", F.lit(False)) & ~F.array_contains(c, F.coalesce(best, F.lit(""))), F.concat(F.array(best), c)).otherwise(c)
+    return F.when(F.coalesce(best != "", F.lit(False)) & ~F.coalesce(F.array_contains(c, F.coalesce(best, F.lit(""))), F.lit(False)), F.concat(F.array(best), c)).otherwise(c)
 
 
 def bullets(items: Column) -> Column:

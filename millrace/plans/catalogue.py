@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import code
 from millrace.functions import text as T
-from millrace.operators import agents, entities, metrics, ordinals, requests, trees, vectors, voting
+from millrace.operators import entities, metrics, ordinals, requests, trees, vectors, voting
 from millrace.operators.metrics import share
 from millrace.storage import table
 from millrace.streaming import rounds
@@ -67,8 +67,8 @@ def company_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "company_records").select("id", F.lower(F.regexp_replace("name", "^[ \\t\\n\\r\\u00a0]+|[ \\t\\n\\r\\u00a0]+$", "")).alias("lower_name")).distinct()
 
 
-_PAIRS = f"""
-with n as (select distinct name from company_records where name is not null),
+def _pairs_sql(source: str) -> str:
+    return f"""n as (select distinct name from {source} where name is not null),
 t as (select name, {_sql_tokens("name")} as toks from n),
 k as (select name, list_distinct(toks) as toks, list_aggregate(toks, 'string_agg', ' ') as clean from t where len(toks) > 0),
 x as (select name, clean, unnest(toks) as tok from k),
@@ -81,12 +81,11 @@ l as (select *, list_last(list_reduce(list_prepend([x * 0 for x in range(length(
       lambda acc, c: list_reduce(list_prepend([0::bigint], [[i] for i in range(1, length(cb) + 1)]),
         lambda row, i: list_append(row, case when unicode(cb[i[1]]) = c[1] then acc[i[1]] + 1 else greatest(acc[i[1] + 1], list_last(row)) end)))) as lcs from f),
 s2 as (select *, round(200.0 * lcs / (length(ca) + length(cb)))::int as fuzzy from l),
-s3 as (select *, trunc(0.6::double * fuzzy + 0.4::double * 100 * jac)::int as score from s2)
-select name_a, name_b, fuzzy, score, case when score >= 95 then 'auto' else 'candidate' end as band from s3 where score >= 70
-"""
+s3 as (select *, trunc(0.6::double * fuzzy + 0.4::double * 100 * jac)::int as score from s2),
+scored as (select name_a, name_b, fuzzy, score, case when score >= 95 then 'auto' else 'candidate' end as band from s3 where score >= 70)"""
 
 
-@query(_PAIRS)
+@query(f"with {_pairs_sql('company_records')} select * from scored")
 def dedup_candidates(spark: SparkSession, d: str) -> DataFrame:
     return entities.scored_pairs(table(spark, d, "company_records"))
 
@@ -104,10 +103,14 @@ def dedup_survivors(spark: SparkSession, d: str) -> DataFrame:
     return r.join(dup, "id", "left_anti").groupBy("origin").agg(F.count("*").alias("records"), F.count_distinct("name").alias("names"))
 
 
-@query()
+@query(
+    f"""with r as (select id, min(name) as name, min(origin) as origin from company_records where id is not null group by 1), {_pairs_sql('r')},
+    c as (select origin as value, count(*) as n from r where origin <> '' and not exists (select 1 from scored where band = 'auto' and name_b = r.name) group by 1)
+    select value, n, round(n / sum(n) over (), 6) as share from c"""
+)
 def company_pipeline(spark: SparkSession, d: str) -> DataFrame:
     """Names, scored pairs, later names of automatic pairs dropped, and the distribution of what is left over its origins."""
-    records = table(spark, d, "company_records").where("id is not null").dropDuplicates(["id"])
+    records = table(spark, d, "company_records").where("id is not null").groupBy("id").agg(F.min("name").alias("name"), F.min("origin").alias("origin"))
     dup = entities.scored_pairs(records).where("band = 'auto'").select(F.col("name_b").alias("name")).distinct()
     return voting.shares(records.join(dup, "name", "left_anti"), "origin").select("value", "n", r6("share").alias("share"))
 
@@ -564,7 +567,7 @@ _EDGES = """t as (select 'r' || n_regionkey as parent, 'n' || n_nationkey as chi
     select ancestor, count(distinct descendant) as descendants from p group by 1"""
 )
 def subtree_sizes(spark: SparkSession, d: str) -> DataFrame:
-    return trees.closure(_places(spark, d)).groupBy("ancestor").agg(F.count("*").alias("descendants"))
+    return trees.descendant_counts(_places(spark, d))
 
 
 @query(
@@ -579,33 +582,74 @@ def query_tree(spark: SparkSession, d: str) -> DataFrame:
     return trees.expand(roots, step, 3).select("node", "parent", "depth")
 
 
+@query(f"""with recursive {_EDGES}, i as (select * from t where child[1] <> 'o'), p as (select parent as ancestor, child as descendant from i union all select p.ancestor, i.child from p join i on p.descendant = i.parent) select distinct ancestor, descendant from p""")
+def place_paths(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of a region, nation or customer and what lies below it, without the orders."""
+    return trees.closure(_places(spark, d).where(~F.col("child").startswith("o")))
+
+
+_ACTIONS = """m as (select l_orderkey, arg_max(l_returnflag = 'N', (l_linenumber, l_returnflag = 'N')) as tool, count(*) as n from lineitem group by 1),
+  a as (select o_orderkey, case o_orderstatus when 'P' then 'pending' when 'O' then 'in_progress' else 'done' end as status from orders)"""
+
+
 @query(
-    f"""with recursive {_EDGES}, k as (select parent, count(*) as n from t group by 1),
-    p as (select 'r' || r_regionkey as agent_id, null::varchar as parent, 0 as depth, ['r' || r_regionkey] as path from region
-      union all select t.child, p.agent_id, p.depth + 1, list_append(p.path, t.child) from p join t on t.parent = p.agent_id where p.depth < 2),
-    f as (select p.agent_id, p.parent, p.depth, coalesce(k.n, 0) as own from p left join k on k.parent = p.agent_id),
-    a as (select unnest(path) as anc, agent_id from p)
-    select agent_id, f.parent, f.depth, 'done' as status, (select sum(g.own) from a join f g on g.agent_id = a.agent_id where a.anc = f.agent_id)::bigint as finding from f"""
+    f"""with {_ACTIONS} select o_orderkey, case when not (status = 'pending' or status = 'in_progress' and coalesce(tool, false)) then 'wait' when coalesce(n, 0) >= 6 then 'complete' else 'ready' end as action
+    from a left join m on l_orderkey = o_orderkey"""
 )
-def agent_rounds(spark: SparkSession, d: str) -> DataFrame:
-    """Regions ask their nations, nations their customers; each reports how many it has below, and parents add up."""
-    edges = _places(spark, d)
-    below = edges.groupBy(F.col("parent").alias("agent_id")).agg(F.count("*").alias("n"), F.array_sort(F.collect_set("child")).alias("children"))
+def next_actions(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as agents and their lines as messages: who is ready for the next round, who is over budget."""
+    status = F.when(F.col("o_orderstatus") == "P", "pending").when(F.col("o_orderstatus") == "O", "in_progress").otherwise("done")
+    a = table(spark, d, "orders").select("o_orderkey", status.alias("status"))
+    m = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("seq"), F.when(F.col("l_returnflag") == "N", "tool").otherwise("assistant").alias("role"))
+    return trees.next_actions(a, m, 6, "o_orderkey")
+
+
+@query(
+    """with a as (select distinct id from eval_questions where id is not null), r as (select custom_id, max(coalesce(response.body.choices[1].message.content, '')) as said from batch_results where custom_id is not null group by 1)
+    select id, case when r.custom_id is null then 'pending' when starts_with(said, '{') then 'waiting' when said <> '' then 'completed' else 'failed' end as status, (r.custom_id is not null)::int as iteration from a left join r on custom_id = id"""
+)
+def moved_on(spark: SparkSession, d: str) -> DataFrame:
+    """Questions as agents after a round: structured replies count as calls, others as final texts."""
+    a = table(spark, d, "eval_questions").select("id").where("id is not null").distinct().withColumns({"status": F.lit("pending"), "iteration": F.lit(0)})
+    r = table(spark, d, "batch_results").where("custom_id is not null").groupBy(F.col("custom_id").alias("id")).agg(F.max(F.coalesce(requests.content(), F.lit(""))).alias("said"))
+    return trees.moved_on(a, r.withColumn("n_calls", F.col("said").startswith("{").cast("int")), "id")
+
+
+@query(
+    f"""with recursive {_EDGES}, p as (select 'r' || r_regionkey as node, 0 as depth from region union all select t.child, p.depth + 1 from p join t on t.parent = p.node),
+    s as (select node, depth, node[1] = 'o' and o_orderstatus = 'F' as done from p left join orders on node = 'o' || o_orderkey)
+    select node, depth, case when not coalesce(done, false) then (select max(depth) from s where not coalesce(done, false)) - depth + 1 end as closes from s"""
+)
+def forced_closing(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes that are still open and the round in which each is closed, from the deepest upwards."""
+    at = {"n": 1, "c": 2, "o": 3}
+    depth = F.coalesce(*[F.when(F.col("node").startswith(k), v) for k, v in at.items()])
+    done = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("node"), F.lit(True).alias("done"))
+    below = _places(spark, d).select(F.col("child").alias("node")).distinct().withColumn("depth", depth)
+    roots = table(spark, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node"), F.lit(0).alias("depth"))
+    return trees.forced_closing(roots.unionByName(below).join(done, "node", "left"), F.col("done")).select("node", "depth", "closes")
+
+
+@query("select case o_orderstatus when 'F' then 'done' when 'P' then 'pending' else 'in_progress' end as status, count(*) as n, max(o_custkey)::bigint as greatest_parent from orders group by 1")
+def agent_summary(spark: SparkSession, d: str) -> DataFrame:
+    status = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "P", "pending").otherwise("in_progress")
+    return table(spark, d, "orders").groupBy(status.alias("status")).agg(F.count("*").alias("n"), F.max("o_custkey").alias("greatest_parent"))
 
-    def respond(ready: DataFrame) -> DataFrame:
-        return ready.join(below, "agent_id", "left").select("agent_id", F.coalesce("n", F.lit(0)).alias("finding"), "children")
 
-    roots = table(spark, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("agent_id"))
-    return agents.run_rounds(roots, respond, max_depth=2).select("agent_id", "parent", "depth", "status", "finding")
+@query("select o_custkey as parent, count(*) as children, list(o_orderkey order by o_orderkey)[1:20] as findings from orders group by 1 having count(*) filter (where o_orderstatus <> 'F') = 0")
+def compiled_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Parents of which every child is done, with the first of their children's findings."""
+    return trees.compiled(table(spark, d, "orders"), "o_custkey", F.col("o_orderstatus") == "F", "o_orderkey", 20)
 
 
-@query("select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
+@query("select start, event_type, n, total from (select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events where ts is not null group by 1, 2), (select max(ts) as last from events) where start + interval 1 hour <= last - interval 1 day")
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
-    return rounds.drain(rounds.event_windows(rounds.table_stream(spark, f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))), "windows", "complete")
+    """The windows that the watermark has closed, each written once."""
+    return rounds.drain(rounds.event_windows(rounds.table_stream(spark, f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")), late="1 day"), "windows")
 
 
-@query("select count(distinct custom_id) as ids, count(*) as n from (select distinct custom_id from batch_results where custom_id is not null and finished_at is not null)")
+@query("select distinct custom_id from batch_results where custom_id is not null and finished_at is not null")
 def stream_first_results(spark: SparkSession, d: str) -> DataFrame:
-    s = rounds.table_stream(spark, f"{d}/batch_results.parquet").where("custom_id is not null and finished_at is not null").select("custom_id", "result_id", "finished_at")
-    x = rounds.drain(rounds.first_results(s), "first")
-    return x.agg(F.count_distinct("custom_id").alias("ids"), F.count("*").alias("n"))
+    """Each key of a stream of results once, from the first row that arrives."""
+    s = rounds.table_stream(spark, f"{d}/batch_results.parquet").where("custom_id is not null and finished_at is not null").select("custom_id", "finished_at")
+    return rounds.drain(rounds.first_results(s), "first").select("custom_id")

@@ -26,7 +26,9 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
 def table_stream(spark: SparkSession, path: str) -> DataFrame:
     """A parquet file or folder as a stream."""
     schema = spark.read.parquet(path).schema
-    folder = os.path.dirname(path) if os.path.isfile(path.removeprefix("file://")) else path
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    one = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isFile()
+    folder = os.path.dirname(path) if one else path
     reader = spark.readStream.schema(schema)
     if folder != path:
         reader = reader.option("pathGlobFilter", os.path.basename(path))
