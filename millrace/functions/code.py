@@ -35,3 +35,22 @@ def fenced(c: str | Column) -> Column:
     s = F.col(c) if isinstance(c, str) else c
     blocks = F.regexp_extract_all(s, F.lit(r"(?s)(```[A-Za-z+#]*\n.*?\n```)"), F.lit(1))
     return F.transform(blocks, lambda b: F.struct(F.regexp_extract(b, "^```([A-Za-z+#]*)", 1).alias("language"), F.regexp_extract(b, r"(?s)^```[A-Za-z+#]*\n(.*)\n```$", 1).alias("code")))
+
+
+def _function(c: Column, name: str) -> Column:
+    """The first function whose name matches, from its signature to a brace at a line's start; null without one."""
+    return F.nullif(F.regexp_extract(c, rf"(?s)((?:static\s+)?void\s+{name}\s*\([^)]*\)\s*\{{.*?\n\}})", 1), F.lit(""))
+
+
+def bad_function(c: Column) -> Column:
+    return _function(c, r"(?:\w+_)?bad")
+
+
+def good_function(c: Column) -> Column:
+    return _function(c, r"(?:good\w*|\w+_good\w*)")
+
+
+def weakness_of_path(path: Column) -> Column:
+    """CWE-n of a path that holds CWE<n>_; null without."""
+    n = F.regexp_extract(path, r"CWE(\d+)_", 1)
+    return F.when(n != "", F.concat(F.lit("CWE-"), n))

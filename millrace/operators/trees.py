@@ -112,3 +112,31 @@ def compiled(children: DataFrame, parent: str, done: Column, finding: str, most:
     near = children.where(F.col(finding).isNotNull()).withColumn("_rank", F.row_number().over(Window.partitionBy(parent).orderBy(finding))).where(F.col("_rank") <= most)
     findings = near.groupBy(parent).agg(F.array_sort(F.collect_list(finding)).alias("findings"))
     return ready_parents(children, parent, done).where("ready").join(findings, parent).select(F.col(parent).alias("parent"), "children", "findings")
+
+
+def spawned(parents: DataFrame, hits: DataFrame, agent: str = "agent_id", max_depth: int = 3) -> DataFrame:
+    """(agent, parent, query, depth, n_hits): a child for each query of a parent that a search answers; queries without hits, and parents at the greatest depth, spawn none.
+
+    parents: (agent, depth, queries); hits: (query, ...). Ids are the parent's with the query's place.
+    """
+    found = hits.groupBy("query").agg(F.count("*").alias("n_hits"))
+    q = parents.where(F.col("depth") < max_depth).select(F.col(agent).alias("parent"), (F.col("depth") + 1).alias("depth"), F.posexplode("queries").alias("_pos", "query"))
+    return q.join(found, "query").select(F.concat("parent", F.lit("-"), F.col("_pos").cast("string")).alias(agent), "parent", "query", "depth", "n_hits")
+
+
+def routed(calls: DataFrame, deferred: list[str]) -> DataFrame:
+    """(name, route, n) of tool calls: those that run at once, and those that wait for the round's end."""
+    return calls.groupBy("name", F.when(F.col("name").isin(deferred), "deferred").otherwise("immediate").alias("route")).agg(F.count("*").alias("n"))
+
+
+def context_lines(agents: DataFrame, most: int = 80, prefixes: tuple[str, ...] = ("Research the following topic: ", "Investigate: ")) -> DataFrame:
+    """(parent, lines): a line of status and topic for each child, in the order of ids; known prefixes are cut off, topics to a length.
+
+    agents: (agent_id, parent, status, topic). A parent has as many lines as children, so their number is the spawning operator's to bound.
+    """
+    topic = F.col("topic")
+    for p in prefixes:
+        topic = F.when(topic.startswith(p), F.substring(topic, len(p) + 1, 1_000_000)).otherwise(topic)
+    line = F.concat(F.lit("- ["), "status", F.lit("] "), F.substring(topic, 1, most))
+    x = agents.where("parent is not null").groupBy("parent").agg(F.array_sort(F.collect_list(F.struct("agent_id", line.alias("line")))).alias("l"))
+    return x.select("parent", F.array_join(F.col("l.line"), "\n").alias("lines"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.functions import code
 from millrace.functions import text as T
-from millrace.operators import fanout, judging, metrics, ordinals, requests, updates, voting
+from millrace.operators import fanout, judging, metrics, ordinals, requests, trees, updates, vectors, voting
 from millrace.operators.metrics import share
 from millrace.plans.catalogue import _COUNTS, _JOINED, _PRF, _SEVERITY, _VOTES, _WS, _severity, _stated, _votes, query, r6
 from millrace.sources import files
@@ -657,6 +658,135 @@ def first_of_fallbacks(spark: SparkSession, d: str) -> DataFrame:
     return r.select(F.col("receipt_id").alias("id"), F.coalesce(F.nullif("n", F.lit("")), F.nullif("a", F.lit("")), F.lit("unknown")).alias("truth"))
 
 
+# --- agents ----------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    """with t as (select n_regionkey as r, list(n_name order by n_nationkey) as q from nation group by 1), p as (select r, unnest(q) as query, generate_subscripts(q, 1) - 1 as pos from t),
+    h as (select n_name as query, count(*) as n_hits from customer join nation on c_nationkey = n_nationkey where c_acctbal > 9000 group by 1)
+    select 'r' || r || '-' || pos as agent_id, 'r' || r as parent, p.query, 1 as depth, n_hits from p join h on h.query = p.query"""
+)
+def spawned_agents(spark: SparkSession, d: str) -> DataFrame:
+    """Regions that ask for their nations; a nation with customers of a high balance is answered, others spawn no child."""
+    n = table(spark, d, "nation")
+    p = n.groupBy(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("agent_id")).agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("q")).select("agent_id", F.lit(0).alias("depth"), F.col("q.n_name").alias("queries"))
+    hits = table(spark, d, "customer").where("c_acctbal > 9000").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("query"))
+    return trees.spawned(p, hits)
+
+
+@query("select event_type as name, case when event_type in ('purchase', 'error') then 'deferred' else 'immediate' end as route, count(*) as n from events where event_type <> '' group by 1, 2")
+def routed_calls(spark: SparkSession, d: str) -> DataFrame:
+    return trees.routed(table(spark, d, "events").where("event_type <> ''").select(F.col("event_type").alias("name")), ["purchase", "error"])
+
+
+@query("select 'r' || n_regionkey as parent, string_agg('- [done] ' || n_name, chr(10) order by 'n' || (n_nationkey + 100)) as lines from nation group by 1")
+def context_lines(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "nation")
+    a = n.select(F.concat(F.lit("n"), (F.col("n_nationkey") + 100).cast("string")).alias("agent_id"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("parent"), F.lit("done").alias("status"), F.concat(F.lit("Investigate: "), "n_name").alias("topic"))
+    return trees.context_lines(a)
+
+
+@query("select o_orderkey as agent_id, 'agent-' || o_orderkey || '-iter-' || (o_custkey % 5) as custom_id, 'in_progress' as status from orders where o_orderstatus = 'P'")
+def round_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Requests of the agents that are ready, which are in progress from then on; the id is taken apart at its last mark."""
+    a = table(spark, d, "orders").select(F.col("o_orderkey").alias("agent_id"), F.when(F.col("o_orderstatus") == "P", "pending").otherwise("done").alias("status"), (F.col("o_custkey") % 5).alias("iteration"))
+    m = a.limit(0).select("agent_id", F.lit(0).alias("seq"), F.lit("").alias("role"))
+    ready = trees.next_actions(a, m, 8).where("action = 'ready'").join(a, "agent_id")
+    return ready.select("agent_id", F.concat(F.lit("agent-"), F.col("agent_id").cast("string"), F.lit("-iter-"), F.col("iteration").cast("string")).alias("custom_id"), F.lit("in_progress").alias("status"))
+
+
+@query(
+    """with f as (select s_suppkey, 'CWE' || s_nationkey || '_x/' || s_suppkey || '.c' as path from supplier)
+    select s_suppkey, case when s_nationkey is not null then 'CWE-' || s_nationkey end as label, 'void x_bad() {' || chr(10) || 'int a = ' || s_suppkey || ';' || chr(10) || '}' as bad,
+      case when s_suppkey % 3 > 0 then 'static void good1(int b) {' || chr(10) || 'if (b) { b = ' || s_nationkey || '; }' || chr(10) || '}' end as good from supplier"""
+)
+def bad_and_good_functions(spark: SparkSession, d: str) -> DataFrame:
+    """The two functions in each source file of a suite, files being made of the suppliers, and the class in its path."""
+    k, n = F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string")
+    good = F.when(F.col("s_suppkey") % 3 > 0, F.concat(F.lit("static void good1(int b) {\nif (b) { b = "), n, F.lit("; }\n}"))).otherwise("")
+    text = F.concat(F.lit("#include <x.h>\nvoid x_bad() {\nint a = "), k, F.lit(";\n}\n"), good, F.lit("\nint main() {\n}\n"))
+    f = table(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("CWE"), n, F.lit("_x/"), k, F.lit(".c")).alias("path"), text.alias("text"))
+    return f.select("s_suppkey", code.weakness_of_path(F.col("path")).alias("label"), code.bad_function(F.col("text")).alias("bad"), code.good_function(F.col("text")).alias("good"))
+
+
+@query(
+    """with t as (select source, doc_id, title, text, row_number() over (partition by source order by doc_id) as i from documents where title is not null and text is not null),
+    c as (select source, string_agg('- ' || title || ': ' || substring(text, 1, 40), chr(10) order by i) as lines from t where i <= 3 group by 1),
+    s as (select source, bool_and(text is null) as failed from documents where source is not null group by 1)
+    select s.source, coalesce(lines, case when failed then 'Search failed: no text' else 'No results found.' end) as lines from s left join c on c.source = s.source"""
+)
+def filter_context(spark: SparkSession, d: str) -> DataFrame:
+    """Hits of each source as lines of title and text, or what stands for them where there are none, or the search failed."""
+    x = table(spark, d, "documents").select("source", "doc_id", "title", F.substring("text", 1, 40).alias("t")).where("source is not null")
+    top = ordinals.first_per_group(x.where("title is not null and t is not null"), "source", 3, F.col("doc_id"))
+    line = F.concat("title", F.lit(": "), "t")
+    lines = top.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("l")).select("source", judging.bullets(F.col("l.line")).alias("lines"))
+    s = x.groupBy("source").agg(F.bool_and(F.col("t").isNull()).alias("failed"))
+    instead = F.when(F.col("failed"), "Search failed: no text").otherwise("No results found.")
+    return s.join(lines, "source", "left").select("source", F.coalesce("lines", instead).alias("lines"))
+
+
+@query(
+    f"""with {_MENTIONS}, r as (select *, row_number() over (order by n desc, name) as i, md5(name) as h from m), t as (select name from r where i <= 10), o as (select name, row_number() over (order by h, name) as j from r where i > 10),
+    s as (select name from t union all select name from o where j <= 10) select unnest(list_filter([name || ' competitors', 'SEARCH ' || name, 'x'], lambda x: length(x) > 5 and not starts_with(x, 'SEARCH'))) as query from s"""
+)
+def expanded_queries(spark: SparkSession, d: str) -> DataFrame:
+    """One round of expansion from a sample of found entities: of each reply the lines that are queries."""
+    s = ordinals.priority_sample(_mentions(spark, d), "name", "n", 20)
+    reply = F.concat_ws("\n", F.concat("name", F.lit(" competitors")), F.concat(F.lit("SEARCH "), "name"), F.lit("x"))
+    return s.select(F.explode(T.query_lines(reply)).alias("query"))
+
+
+@query(
+    f"""with {_Q}, {_LAST}, s1 as (select id, case when said <> '' then said else answer end as answer from q left join l on l.custom_id = q.id)
+    select 'stage1_loaded' as stage, count(*) as n from q union all select 'stage2_updated', count(*) filter (where answer <> '') from s1 union all select 'stage3_kept', count(*) filter (where length(answer) >= 20) from s1"""
+)
+def stage_outputs(spark: SparkSession, d: str) -> DataFrame:
+    """A pipeline of three stages, each written as JSON and read by the next, and a summary of their rows."""
+    path = shared_path(spark, "stages")
+    schema = "id string, question string, answer string"
+    _questions(spark, d).select("id", "question", "answer").write.json(f"{path}/stage1_loaded")
+    q = spark.read.schema(schema).json(f"{path}/stage1_loaded")
+    r = _last(spark, d).select(F.col("custom_id").alias("id"), requests.content().alias("said"))
+    updates.update_from(q, r, "id", {"answer": "said"}).drop("updated").where("answer <> ''").write.json(f"{path}/stage2_updated")
+    spark.read.schema(schema).json(f"{path}/stage2_updated").where(F.length("answer") >= 20).write.json(f"{path}/stage3_kept")
+    every = spark.read.schema(schema).option("recursiveFileLookup", True).json(path).select(F.regexp_extract("_metadata.file_path", r"/(stage\d_\w+)/", 1).alias("stage"))
+    return every.groupBy("stage").agg(F.count("*").alias("n"))
+
+
+@query("select 'write_report' as tool, 'r' || r_regionkey as agent_id from region union all select unnest(['search', 'read_pages', 'spawn_agents', 'reference_findings']), agent_id from (select 'r' || r_regionkey as agent_id from region union all select 'n' || n_nationkey from nation)")
+def tools_by_role(spark: SparkSession, d: str) -> DataFrame:
+    """The tools that each agent may call; roots may write the report as well."""
+    a = table(spark, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("agent_id"), F.lit(True).alias("root"))
+    a = a.unionByName(table(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("agent_id"), F.lit(False).alias("root")))
+    every = F.array(*map(F.lit, ["search", "read_pages", "spawn_agents", "reference_findings"]))
+    return a.select("agent_id", F.explode(F.when(F.col("root"), F.concat(F.array(F.lit("write_report")), every)).otherwise(every)).alias("tool"))
+
+
+# --- vectors ---------------------------------------------------------------------------------------------------------------
+
+
+@query()
+def ann_top10(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest of every fiftieth vector by the index of cells, with as many probes as the recall asks for."""
+    e = table(spark, d, "embeddings")
+    index = vectors.build_index(e)
+    return vectors.search(index, e.where("vec_id % 50 = 0"), 10, vectors.tuned_probes(index, e))
+
+
+@query()
+def ann_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Recall and mean inverse rank of the index against the exact search."""
+    e = table(spark, d, "embeddings")
+    return vectors.recall(ann_top10(spark, d), vectors.nearest(e, e.where("vec_id % 50 = 0"), 10), 10)
+
+
+@query("select count(*) as n_rows, count(*) filter (where list_sum(list_transform(embedding, lambda x: x * x)) > 0) as n_indexed, max(len(embedding))::int as dim from embeddings")
+def index_facts(spark: SparkSession, d: str) -> DataFrame:
+    """What an index was built of: rows, rows with a direction, and the vectors' length."""
+    return vectors.build_index(table(spark, d, "embeddings")).about.drop("n_cells")
+
+
 # --- files -----------------------------------------------------------------------------------------------------------------
 
 

@@ -172,3 +172,22 @@ def test_query_lines_by_brute_force(spark, tmp_path):
     got = {r.doc_id: (r.lines, r.stops) for r in stages.query_lines(spark, str(tmp_path)).collect()}
     assert got == {1: (["How are fees set?", "Who pays?"], False), 3: ([], True), 4: ([], False)}
     assert "query_lines" in catalogue.queries()
+
+
+def test_index_of_cells_finds_neighbours(spark):
+    import numpy as np
+
+    from millrace.operators import vectors
+
+    rng = np.random.default_rng(3)
+    middles = rng.normal(size=(12, 16))
+    rows_ = [(i, (middles[i % 12] + 0.2 * rng.normal(size=16)).tolist(), 1) for i in range(600)] + [(600, None, 1), (601, [], 1), (602, [0.0] * 16, 1)]
+    e = spark.createDataFrame(rows_, "vec_id long, embedding array<double>, similarity int")
+    index = vectors.build_index(e)
+    assert tuple(index.about.first())[:3] == (603, 600, 16) and index.cells.agg(F.sum(F.size("ids"))).first()[0] == 600
+    asked = e.where("vec_id % 50 = 0")
+    probes = vectors.tuned_probes(index, e, target=0.95, asked=30)
+    found = vectors.search(index, asked, 10, probes)
+    assert vectors.recall(found, vectors.nearest(e, asked, 10), 10).first()["recall_at_k"] >= 0.9
+    assert rows(vectors.search(index, asked, 10, len(index.centroids)), "query_id", "rank") == rows(vectors.nearest(e, asked, 10), "query_id", "rank")
+    assert vectors.search(vectors.build_index(e.limit(0)), asked, 3).count() == 0
