@@ -161,7 +161,7 @@ def token_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabula
     rows give repeated rows; other columns are not read. No shuffle takes place.
     """
     file = Path(vocabulary).read_text(encoding="utf-8")
-    if len(file) > MOST_VOCABULARY_BYTES:
+    if len(file.encode()) > MOST_VOCABULARY_BYTES:
         raise ValueError(f"{vocabulary} holds more than {MOST_VOCABULARY_BYTES} bytes")
     shared = docs.sparkSession.sparkContext.broadcast(file)
     name = hash(file)

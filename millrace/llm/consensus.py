@@ -128,3 +128,15 @@ def sample_labels(results: DataFrame, consensus: Consensus | None = None) -> Dat
     counted = results.where("sample_id is not null").groupBy("sample_id").agg(F.max_by(F.coalesce("votes_bug", F.lit(0)) > F.coalesce("votes_no_bug", F.lit(0)), F.struct("updated_at", "loaded_at", "votes_bug", "votes_no_bug")).alias("more"))
     both = counted.join(c.items.select(F.col("item").alias("sample_id"), "p_true"), "sample_id", "left")
     return both.select("sample_id", F.when(F.coalesce(F.col("p_true") > 0.5, F.col("more"), F.lit(False)), "bug").otherwise("no_bug").alias("label"))
+
+
+def sample_agreement(results: DataFrame, consensus: Consensus | None = None) -> DataFrame:
+    """(sample_id, p_bug, n_votes, agreement, stated_confidence) of every sample with a verdict.
+
+    agreement: the share of pairs of votes that agree, null for a single vote; stated_confidence: that of the sample's latest row that has one.
+    """
+    c = consensus or reweighted_votes(votes_of(results))
+    there = F.when(F.col("confidence").isNotNull(), F.struct("updated_at", "loaded_at", "confidence"))
+    stated = results.where("sample_id is not null").groupBy("sample_id").agg(F.max_by("confidence", there).alias("stated_confidence"))
+    items = c.items.select(F.col("item").alias("sample_id"), F.round("p_true", 6).alias("p_bug"), "n_votes", F.round("agreement", 6).alias("agreement"))
+    return items.join(stated, "sample_id", "left")

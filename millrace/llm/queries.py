@@ -30,6 +30,10 @@ def p2_agreement(spark: SparkSession, d: str) -> DataFrame:
     return consensus.agreement(consensus.votes_of(table(spark, d, "ensemble_results")))
 
 
+def p2_samples(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.sample_agreement(table(spark, d, "ensemble_results"))
+
+
 P2_AGREEMENT = """
 with v as (
   select sample_id, prompt_id, arg_max(has_bug, (coalesce(updated_at, loaded_at), loaded_at, has_bug)) as vote
@@ -72,6 +76,7 @@ def queries() -> dict[str, Query]:
         "p2_found": p2_found,
         "p2_annotators": p2_annotators,
         "p2_agreement": p2_agreement,
+        "p2_samples": p2_samples,
         "p3_found": p3_found,
         "p4_found": p4_found,
         "p5_found": p5_found,

@@ -95,3 +95,11 @@ def test_rounds_that_do_not_suffice_are_reported(spark):
     with pytest.warns(RuntimeWarning, match="after 1 rounds"):
         assert not consensus.reweighted_votes(votes, tolerance=0.0, most_rounds=1).converged
     assert consensus.reweighted_votes(votes).converged
+
+
+def test_agreement_of_samples(spark):
+    verdict = lambda *said: {f"p{i}": (b,) for i, b in enumerate(said)}
+    rows = [("a", 1, 1, verdict(True, True, False), 0.4), ("a", 2, 2, None, None), ("b", 1, 1, verdict(True), 1.0), ("c", 1, 1, verdict(None), 0.5), (None, 1, 1, verdict(True), 0.1)]
+    df = spark.createDataFrame(rows, "sample_id string, updated_at int, loaded_at int, prompt_results map<string, struct<has_bug: boolean>>, confidence double")
+    got = {r.sample_id: (r.n_votes, r.agreement, r.stated_confidence) for r in consensus.sample_agreement(df).collect()}
+    assert got == {"a": (3, 0.333333, 0.4), "b": (1, None, 1.0)}
