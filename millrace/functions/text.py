@@ -11,7 +11,13 @@ from pyspark.sql import functions as F
 #: Words that name no company, and endings that are cut off a company's name, in this order.
 STOP_TOKENS = ["inc", "incorporated", "corp", "corporation", "co", "company", "ltd", "limited", "llc", "llp", "lp", "plc", "sa", "nv", "ag", "gmbh", "group", "holdings", "holding", "the", "of", "and", "&", "a", "an"]
 NAME_ENDINGS = [", inc.", ", inc", " inc.", " inc", ", llc", " llc", ", ltd", " ltd", " corporation", " corp.", " corp", " technologies", " technology", " networks", " systems"]
+#: Patterns of numbers, of the forms in which an answer is stated, of currency marks and of dates.
 NUMBER = r"-?\d+(?:,\d{3})*(?:\.\d+)?(?:[eE][+-]?\d+)?"
+BARE_NUMBER = r"-?\d+(?:\d{3})*(?:\.\d+)?(?:[eE][+-]?\d+)?"
+ANSWER_LINE, BOXED, GOLD_MARK = r"(?i)ANSWER:\s*(.+?)(?:\n|$)", r"\\boxed\{([^}]+)\}", r"####\s*(.+)"
+STATED = [rf"(?i)(?:the\s+)?answer\s+is\s*:?\s*({NUMBER})", rf"(?i)(?:final\s+)?answer\s*[:=]\s*({NUMBER})", rf"(?m)=\s*({NUMBER})\s*$"]
+CURRENCY = r"(?i)^[$£€¥₹]|RM\s*|USD\s*|MYR\s*"
+ISO_DATE, DAY_MONTH_YEAR = r"^\d{4}-\d{2}-\d{2}", r"^(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{2,4})"
 
 
 def _col(c: str | Column) -> Column:
@@ -48,7 +54,7 @@ def strip_company_endings(c: str | Column) -> Column:
 
 def normalize_number(c: str | Column) -> Column:
     """A typed amount as a double of two places; currency marks go, what is no number is null."""
-    s = F.regexp_replace(strip(_col(c)), r"(?i)^[$£€¥₹]|RM\s*|USD\s*|MYR\s*", "")
+    s = F.regexp_replace(strip(_col(c)), CURRENCY, "")
     return F.round(strip(F.replace(s, F.lit(","), F.lit(""))).try_cast("double"), 2)
 
 
@@ -58,36 +64,35 @@ def normalize_date(c: str | Column) -> Column:
     Two-digit years below 50 are of this century. Dates aren't checked against a calendar.
     """
     s = strip(_col(c))
-    part = lambda i: F.regexp_extract(s, r"^(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{2,4})", i)
+    part = lambda i: F.regexp_extract(s, DAY_MONTH_YEAR, i)
     a, b = (part(i).try_cast("int") for i in (1, 2))
     y = part(3)
     year = F.when(F.length(y) == 2, y.try_cast("int") + F.when(y.try_cast("int") < 50, 2000).otherwise(1900)).otherwise(y.try_cast("int"))
     month_first = (a <= 12) & (b > 12)
     day, month = F.when(month_first, b).otherwise(a), F.when(month_first, a).otherwise(b)
-    iso = F.regexp_extract(s, r"^\d{4}-\d{2}-\d{2}", 0)
+    iso = F.regexp_extract(s, ISO_DATE, 0)
     return F.when(iso != "", iso).when(part(3) != "", F.format_string("%04d-%02d-%02d", year, month, day)).otherwise(F.lower(s))
 
 
 def clean_number(c: str | Column) -> Column:
     """The first number in a text, without mark-up, grouping commas and final full stops; null if there is none."""
     s = F.regexp_replace(strip(F.regexp_replace(_col(c), r"[*$\\{}]", "")), r"\.+$", "")
-    found = F.regexp_extract(F.replace(s, F.lit(","), F.lit("")), r"-?\d+(?:\d{3})*(?:\.\d+)?(?:[eE][+-]?\d+)?", 0)
+    found = F.regexp_extract(F.replace(s, F.lit(","), F.lit("")), BARE_NUMBER, 0)
     return F.nullif(found, F.lit(""))
 
 
 def model_answer(c: str | Column) -> Column:
     """The final answer a response states: its last ``ANSWER:``, a boxed number, "answer is", or "=" at a line's end."""
     s = _col(c)
-    last = F.try_element_at(F.regexp_extract_all(s, F.lit(r"(?i)ANSWER:\s*(.+?)(?:\n|$)"), F.lit(1)), F.lit(-1))
-    boxed = F.regexp_extract(s, r"\\boxed\{([^}]+)\}", 1)
-    forms = [rf"(?i)(?:the\s+)?answer\s+is\s*:?\s*({NUMBER})", rf"(?i)(?:final\s+)?answer\s*[:=]\s*({NUMBER})", rf"(?m)=\s*({NUMBER})\s*$"]
-    return F.coalesce(clean_number(last), clean_number(boxed), *(clean_number(F.regexp_extract(s, f, 1)) for f in forms))
+    last = F.try_element_at(F.regexp_extract_all(s, F.lit(ANSWER_LINE), F.lit(1)), F.lit(-1))
+    boxed = F.regexp_extract(s, BOXED, 1)
+    return F.coalesce(clean_number(last), clean_number(boxed), *(clean_number(F.regexp_extract(s, f, 1)) for f in STATED))
 
 
 def gold_answer(c: str | Column) -> Column:
     """What stands behind #### on its line, without commas; the whole text where there is no such mark."""
     s = _col(c)
-    found = F.regexp_extract(s, r"####\s*(.+)", 1)
+    found = F.regexp_extract(s, GOLD_MARK, 1)
     return F.when(found != "", F.replace(strip(found), F.lit(","), F.lit(""))).otherwise(strip(s))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SCORES = ("relevance", "hallucination", "tone")
+SCORES = ("relevance", "hallucination_risk", "tone")
 #: Fixed value: the score from which a reply passes.
 PASSES = 0.7
 
@@ -29,7 +29,7 @@ def scores(reply: Column) -> Column:
 
 
 def overall(s: Column) -> Column:
-    return (s["relevance"] + (1 - s["hallucination"]) + s["tone"]) / 3
+    return (s["relevance"] + (1 - s["hallucination_risk"]) + s["tone"]) / 3
 
 
 def score_rows(scored: DataFrame, key: str, score: str = "score") -> DataFrame:

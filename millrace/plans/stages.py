@@ -302,23 +302,23 @@ def reference_lists(spark: SparkSession, d: str) -> DataFrame:
     return r.withColumn("lines", judging.bullets(F.col("reference")))
 
 
-_SCORED = """e as (select sample_id, confidence as relevance, votes_no_bug / nullif(total_votes, 0)::double as hallucination, votes_bug / nullif(total_votes, 0)::double as tone from (select distinct sample_id, confidence, votes_bug, votes_no_bug, total_votes from ensemble_results where sample_id is not null)),
-  s as (select *, coalesce(relevance between 0 and 1 and hallucination between 0 and 1 and tone between 0 and 1, false) as ok from e)"""
+_SCORED = """e as (select sample_id, confidence as relevance, votes_no_bug / nullif(total_votes, 0)::double as hallucination_risk, votes_bug / nullif(total_votes, 0)::double as tone from (select distinct sample_id, confidence, votes_bug, votes_no_bug, total_votes from ensemble_results where sample_id is not null)),
+  s as (select *, coalesce(relevance between 0 and 1 and hallucination_risk between 0 and 1 and tone between 0 and 1, false) as ok from e)"""
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     """Replies of a judge as JSON, made of the samples' counts, and their scores."""
     e = table(spark, d, "ensemble_results").where("sample_id is not null").select("sample_id", "confidence", "votes_bug", "votes_no_bug", "total_votes").distinct()
-    reply = F.to_json(F.struct(F.col("confidence").alias("relevance"), F.try_divide("votes_no_bug", "total_votes").alias("hallucination"), F.try_divide("votes_bug", "total_votes").alias("tone")))
+    reply = F.to_json(F.struct(F.col("confidence").alias("relevance"), F.try_divide("votes_no_bug", "total_votes").alias("hallucination_risk"), F.try_divide("votes_bug", "total_votes").alias("tone")))
     return e.select("sample_id", reply.alias("reply")).withColumn("score", judging.scores(F.col("reply")))
 
 
-@query(f"with {_SCORED} select sample_id, ok, case when ok then round((relevance + (1 - hallucination) + tone) / 3, 6) end as overall from s")
+@query(f"with {_SCORED} select sample_id, ok, case when ok then round((relevance + (1 - hallucination_risk) + tone) / 3, 6) end as overall from s")
 def judge_scores(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d).select("sample_id", F.col("score").isNotNull().alias("ok"), r6(judging.overall(F.col("score"))).alias("overall"))
 
 
-@query(f"with {_SCORED} select count(*) as n, count(*) filter (where ok) as scored, round(avg(relevance) filter (where ok), 6) as relevance, round(avg(hallucination) filter (where ok), 6) as hallucination, round(avg(tone) filter (where ok), 6) as tone, round(avg((relevance + (1 - hallucination) + tone) / 3) filter (where ok), 6) as overall from s")
+@query(f"with {_SCORED} select count(*) as n, count(*) filter (where ok) as scored, round(avg(relevance) filter (where ok), 6) as relevance, round(avg(hallucination_risk) filter (where ok), 6) as hallucination_risk, round(avg(tone) filter (where ok), 6) as tone, round(avg((relevance + (1 - hallucination_risk) + tone) / 3) filter (where ok), 6) as overall from s")
 def judge_means(spark: SparkSession, d: str) -> DataFrame:
     s = F.col("score")
     x = _scored(spark, d)
@@ -326,7 +326,7 @@ def judge_means(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""with {_SCORED}, v as (select sample_id, unnest(['relevance', 'hallucination', 'tone', 'overall']) as evaluator, unnest(case when ok then [relevance, hallucination, tone, (relevance + (1 - hallucination) + tone) / 3] else [0, 0, 0, 0] end) as value from s)
+    f"""with {_SCORED}, v as (select sample_id, unnest(['relevance', 'hallucination_risk', 'tone', 'overall']) as evaluator, unnest(case when ok then [relevance, hallucination_risk, tone, (relevance + (1 - hallucination_risk) + tone) / 3] else [0, 0, 0, 0] end) as value from s)
     select evaluator, case when value >= 0.7 then 'pass' else 'fail' end as label, count(*) as n from v group by 1, 2"""
 )
 def judge_labels(spark: SparkSession, d: str) -> DataFrame:

@@ -70,7 +70,7 @@ def test_reference_lists(spark):
 
 @pytest.mark.parametrize(
     ("reply", "overall"),
-    [('{"relevance": 0.9, "hallucination": 0.1, "tone": 0.6}', 0.8), ('{"relevance": 1.2, "hallucination": 0, "tone": 0}', None), ('{"relevance": 1}', None), ("no", None), ("", None), (None, None)],
+    [('{"relevance": 0.9, "hallucination_risk": 0.1, "tone": 0.6}', 0.8), ('{"relevance": 1.2, "hallucination_risk": 0, "tone": 0}', None), ('{"relevance": 1}', None), ("no", None), ("", None), (None, None)],
 )
 def test_scores_within_bounds(spark, reply, overall):
     got = spark.createDataFrame([(reply,)], "r string").select(judging.overall(judging.scores(F.col("r")))).first()[0]
