@@ -9,9 +9,10 @@ from millrace.functions import code
 from millrace.functions import text as T
 from millrace.operators import fanout, judging, metrics, ordinals, requests, trees, updates, vectors, voting
 from millrace.operators.metrics import share
-from millrace.plans.catalogue import _COUNTS, _JOINED, _PRF, _SEVERITY, _VOTES, _WS, _severity, _stated, _votes, query, r6
+from millrace.plans.catalogue import _COUNTS, _FIELDS, _JOINED, _LONG, _PRF, _SEVERITY, _VOTES, _WS, _runs, _severity, _stated, _votes, query, r6
 from millrace.sources import files
 from millrace.storage import shared_path, table
+from millrace.streaming import rounds
 
 # --- joins back ------------------------------------------------------------------------------------------------------------
 
@@ -851,3 +852,66 @@ def score_report(spark: SparkSession, d: str) -> DataFrame:
     a = r.groupBy("model").agg(F.count("*").alias("n"), F.count_if(F.col("content") != "").alias("answered"))
     a.agg(F.array_sort(F.collect_list(F.struct("model", "n", "answered"))).alias("models"), F.sum("n").alias("n")).coalesce(1).write.json(path)
     return spark.read.schema("models array<struct<model: string, n: bigint, answered: bigint>>, n bigint").json(path)
+
+
+@query("select printf('csv-%06d', i) as id, name from (select name, row_number() over (order by name) - 1 as i from (select distinct trim(p_name) as name from part where trim(p_name) <> '')) where i < 500")
+def csv_records(spark: SparkSession, d: str) -> DataFrame:
+    """The head of a load from CSV, with ids made of the order."""
+    path = shared_path(spark, "records")
+    table(spark, d, "part").select("p_partkey", F.col("p_name").alias("company_name")).write.option("header", True).csv(path)
+    return files.numbered(files.read_names(spark, path), 500)
+
+
+@query("select id, name from (select id, name, row_number() over (order by id) as i from (select id, min(name) as name from company_records where id is not null group by 1)) where i <= 5")
+def prepared_records(spark: SparkSession, d: str) -> DataFrame:
+    """Records loaded and saved as JSON lines, and a look at the first five."""
+    path = shared_path(spark, "prepared")
+    r = table(spark, d, "company_records").where("id is not null").groupBy("id").agg(F.min("name").alias("name"))
+    files.write_jsonl(r, path)
+    return spark.read.schema("id string, name string").json(path).orderBy("id").limit(5)
+
+
+@query("select custom_id, count(*) as n, count(*) filter (where error is not null) as failed from batch_results where custom_id is not null group by 1")
+def streamed_results(spark: SparkSession, d: str) -> DataFrame:
+    """Partial results that arrive in a folder, read as a stream."""
+    path = shared_path(spark, "arriving")
+    table(spark, d, "batch_results").select("custom_id", "response", "error").where("custom_id is not null").repartition(4).write.json(path)
+    x = rounds.drain(files.stream_results(spark, path), "arrived")
+    return x.groupBy("custom_id").agg(F.count("*").alias("n"), F.count("error").alias("failed"))
+
+
+@query(
+    f"""with {_LONG}, c as (select receipt_id, field, value, count(*) as n, min(run) as first from x group by 1, 2, 3),
+    b as (select receipt_id, field, arg_min(value, (-n, first, value)) filter (where value is not null) as voted, coalesce(max(n) filter (where value is not null) / nullif(sum(n) filter (where value is not null), 0)::double, 0) as agreement,
+      coalesce(sum(n) filter (where value is not null), 0) / sum(n)::double as rate from c group by 1, 2),
+    r as (select receipt_id, count(distinct run) as n_runs from x group by 1)
+    select model, n_runs, coalesce(field, '(all)') as field, count(*) as n, round(count(*) filter (where value is not distinct from voted) / count(*)::double, 6) as accuracy, round(avg(agreement), 6) as agreement, round(avg(rate), 6) as extraction_rate
+    from x join b using (receipt_id, field) join r using (receipt_id) group by grouping sets ((model, n_runs, field), (model, n_runs))"""
+)
+def field_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Accuracy, agreement and extraction by model, number of runs and field, and over all fields."""
+    runs = _runs(spark, d)
+    voted = voting.field_votes(runs, "receipt_id", "run", {n: F.col(n) for n in _FIELDS}).withColumnRenamed("value", "voted")
+    size = runs.groupBy("receipt_id").agg(F.count_distinct("run").alias("n_runs"))
+    long = runs.select("receipt_id", "model", F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).alias("value")) for n in _FIELDS])).alias("f")).select("receipt_id", "model", "f.*")
+    x = long.join(voted, ["receipt_id", "field"]).join(size, "receipt_id")
+    total = F.when(F.grouping("field") == 1, "(all)").otherwise(F.col("field"))
+    out = x.groupingSets([["model", "n_runs", "field"], ["model", "n_runs"]], "model", "n_runs", "field")
+    out = out.agg(F.count("*").alias("n"), r6(share(F.count_if(F.col("value").eqNullSafe(F.col("voted"))), F.count("*"))).alias("accuracy"), r6(F.avg("agreement")).alias("agreement"), r6(F.avg("extraction_rate")).alias("extraction_rate"), total.alias("label"))
+    return out.drop("field").withColumnRenamed("label", "field")
+
+
+@query(
+    """with u as (select receipt_id, run, min(vendor_name) as name, min(total) as total from receipt_extractions where receipt_id is not null and length(vendor_name) between 5 and 60 group by 1, 2),
+    p as (select a.receipt_id, a.name as before_name, b.name as after_name, a.total as before_total, b.total as after_total from u a join u b on a.receipt_id = b.receipt_id and a.run = 0 and b.run = 1 where trim(a.name) <> trim(b.name)),
+    s as (select receipt_id || '_before' as id, true as changed, before_name as name, before_total as total from p union all select receipt_id || '_after', false, after_name, after_total from p)
+    select id, changed, name, total from (select *, row_number() over (partition by changed order by id) as i from s) where i <= least((select count(*) from p), 50)"""
+)
+def before_after_balanced(spark: SparkSession, d: str) -> DataFrame:
+    """Two runs of a receipt that differ, within a length, one row a side under ids of their own, as many of either."""
+    u = table(spark, d, "receipt_extractions").where(F.col("receipt_id").isNotNull() & F.length("vendor_name").between(5, 60)).groupBy("receipt_id", "run").agg(F.min("vendor_name").alias("name"), F.min("total").alias("total"))
+    side = lambda run, c: u.where(F.col("run") == run).select("receipt_id", F.struct("name", "total").alias(c))
+    p = side(0, "a").join(side(1, "b"), "receipt_id").where(F.trim("a.name") != F.trim("b.name"))
+    rows = F.array(F.struct(F.lit("_before").alias("mark"), F.lit(True).alias("changed"), F.col("a.name").alias("name"), F.col("a.total").alias("total")), F.struct(F.lit("_after").alias("mark"), F.lit(False).alias("changed"), F.col("b.name").alias("name"), F.col("b.total").alias("total")))
+    s = p.select("receipt_id", F.explode(rows).alias("s")).select(F.concat("receipt_id", "s.mark").alias("id"), "s.changed", "s.name", "s.total")
+    return fanout.balanced(s, "changed", "id", 100)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators.ordinals import in_chunks, last_wins
+from millrace.functions.text import padded_id
+from millrace.operators.ordinals import in_chunks, last_wins, with_ordinal
 from millrace.operators.requests import RESULT
 
 
@@ -34,6 +35,13 @@ def read_names(spark: SparkSession, path: str, columns: tuple[str, ...] = ("comp
     return df.withColumn("name", F.coalesce(*found)).where("name is not null")
 
 
+def numbered(names: DataFrame, limit: int | None = None, prefix: str = "csv-", name: str = "name") -> DataFrame:
+    """(id, name): distinct names in their order with ids made of it; with a limit, the head of the load."""
+    x = with_ordinal(names.select(name).distinct(), name)
+    x = x.where(F.col("ord") < limit) if limit is not None else x
+    return x.select(padded_id(prefix, "ord").alias("id"), name)
+
+
 def read_tsv(spark: SparkSession, path: str, required: str) -> DataFrame:
     """A TSV file with a header, all strings; malformed lines and rows without the required column are left out."""
     return spark.read.option("sep", "\t").option("header", True).option("mode", "DROPMALFORMED").csv(path).where(F.col(required).isNotNull())
