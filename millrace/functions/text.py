@@ -74,6 +74,13 @@ def normalize_date(c: str | Column) -> Column:
     return F.when(iso != "", iso).when(part(3) != "", F.format_string("%04d-%02d-%02d", year, month, day)).otherwise(F.lower(s))
 
 
+def normalize_value(field: str | Column, value: str | Column) -> Column:
+    """A field's value as text in the form its name asks for: totals with two places, dates as ISO, names in lower case; others as they are."""
+    f, v = _col(field), _col(value)
+    amount = F.format_string("%.2f", normalize_number(v))
+    return F.when(f.isin("total", "subtotal", "tax"), F.when(normalize_number(v).isNotNull(), amount)).when(f == "date", normalize_date(v)).when(f == "vendor_name", normalize_string(v)).otherwise(v)
+
+
 def clean_number(c: str | Column) -> Column:
     """The first number in a text, without mark-up, grouping commas and final full stops; null if there is none."""
     s = F.regexp_replace(strip(F.regexp_replace(_col(c), r"[*$\\{}]", "")), r"\.+$", "")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.storage import stage
@@ -72,6 +72,19 @@ def build_index(rows: DataFrame, key: str = "vec_id", vector: str = "embedding",
     return Index(centroids, packed, about, key)
 
 
+def save_index(index: Index, path: str) -> None:
+    """The index as three tables: cells, centroids in order, and what it was built of."""
+    spark = index.cells.sparkSession
+    index.cells.write.parquet(f"{path}/cells")
+    spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(index.centroids)], "cell int, centroid array<double>").coalesce(1).write.parquet(f"{path}/centroids")
+    index.about.coalesce(1).write.parquet(f"{path}/about")
+
+
+def load_index(spark: SparkSession, path: str, key: str = "vec_id") -> Index:
+    rows = spark.read.parquet(f"{path}/centroids").orderBy("cell").limit(MOST_CELLS).collect()
+    return Index(np.array([r["centroid"] for r in rows]), spark.read.parquet(f"{path}/cells"), spark.read.parquet(f"{path}/about"), key)
+
+
 def search(index: Index, queries: DataFrame, k: int = 10, probes: int = 8, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, key, rank, similarity): each query's k best rows of the ``probes`` nearest cells, itself left out; ties go to the smaller key."""
     spark = queries.sparkSession

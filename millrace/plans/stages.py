@@ -784,8 +784,10 @@ def ann_recall(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select count(*) as n_rows, count(*) filter (where list_sum(list_transform(embedding, lambda x: x * x)) > 0) as n_indexed, max(len(embedding))::int as dim from embeddings")
 def index_facts(spark: SparkSession, d: str) -> DataFrame:
-    """What an index was built of: rows, rows with a direction, and the vectors' length."""
-    return vectors.build_index(table(spark, d, "embeddings")).about.drop("n_cells")
+    """What a saved index was built of: rows, rows with a direction, and the vectors' length."""
+    path = shared_path(spark, "index")
+    vectors.save_index(vectors.build_index(table(spark, d, "embeddings")), path)
+    return vectors.load_index(spark, path).about.drop("n_cells")
 
 
 # --- files -----------------------------------------------------------------------------------------------------------------
@@ -915,3 +917,43 @@ def before_after_balanced(spark: SparkSession, d: str) -> DataFrame:
     rows = F.array(F.struct(F.lit("_before").alias("mark"), F.lit(True).alias("changed"), F.col("a.name").alias("name"), F.col("a.total").alias("total")), F.struct(F.lit("_after").alias("mark"), F.lit(False).alias("changed"), F.col("b.name").alias("name"), F.col("b.total").alias("total")))
     s = p.select("receipt_id", F.explode(rows).alias("s")).select(F.concat("receipt_id", "s.mark").alias("id"), "s.changed", "s.name", "s.total")
     return fanout.balanced(s, "changed", "id", 100)
+
+
+@query(f"with {_Q} select id, category as topic, question from q where question is not null")
+def embedded_json_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Requests whose prompt holds a record as indented JSON, taken out of the prompt again."""
+    q = _questions(spark, d).where("question is not null")
+    prompt = F.concat(F.lit("Scenario:\n"), F.to_json(F.struct(F.col("category").alias("topic"), "question"), {"pretty": "true", "ignoreNullFields": "false"}))
+    x = q.select("id", F.substring_index(prompt, "Scenario:\n", -1).alias("j"))
+    return x.select("id", F.get_json_object("j", "$.topic").alias("topic"), F.get_json_object("j", "$.question").alias("question"))
+
+
+@query("select receipt_id, printf('Receipt %s, %s:', receipt_id, coalesce(min(date), 'undated')) || chr(10) || coalesce(min(vendor_name), '') as prompt from receipt_extractions where receipt_id is not null group by 1")
+def receipt_prompts(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "receipt_extractions").where("receipt_id is not null").groupBy("receipt_id").agg(F.min("date").alias("date"), F.min("vendor_name").alias("name"))
+    return r.select("receipt_id", F.concat(F.format_string("Receipt %s, %s:\n", "receipt_id", F.coalesce("date", F.lit("undated"))), F.coalesce("name", F.lit(""))).alias("prompt"))
+
+
+@query(rf"with {_LONG} select distinct field, value from x")
+def normalised_values(spark: SparkSession, d: str) -> DataFrame:
+    """Values of all fields in one column, each brought to its field's form."""
+    r = table(spark, d, "receipt_extractions")
+    raw = {"date": F.col("date"), "total": F.when(F.col("total").isNotNull(), F.format_string("$%.2f", F.round("total", 2))), "vendor_name": F.col("vendor_name")}
+    raw = [F.struct(F.lit(n).alias("field"), c.alias("value")) for n, c in raw.items()]
+    x = r.select(F.explode(F.array(*raw)).alias("f")).select("f.*")
+    return x.select("field", T.normalize_value("field", "value").alias("value")).distinct()
+
+
+@query(
+    """with f as (select distinct sample_id, unnest(findings) as f from ensemble_results where sample_id is not null), k as (select f.bug_type as name, f.line is not null as sure from f where f.bug_type <> ''),
+    c as (select name, count(*) as mentions, count(*) filter (where sure) as kept from k group by 1) select name, mentions, kept, row_number() over (order by kept desc, name) as place from c"""
+)
+def extract_and_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Lists of objects parsed from replies, flattened with their source, kept or not by their confidence, and ranked."""
+    e = table(spark, d, "ensemble_results").where("sample_id is not null").select("sample_id", F.to_json(F.struct(F.col("findings").alias("companies"))).alias("reply"))
+    o = e.select("sample_id", F.explode(judging.object_or_list(F.col("reply"), "companies")).alias("o")).distinct()
+    x = o.select("sample_id", F.get_json_object("o", "$.bug_type").alias("name"), F.when(F.get_json_object("o", "$.line").isNull(), "low").alias("confidence"))
+    x = x.withColumn("keep", updates.kept(F.col("name") != "", F.col("confidence"))).where("name <> ''")
+    c = x.groupBy("name").agg(F.count("*").alias("mentions"), F.count_if("keep").alias("kept"))
+    # one row a name of a defect
+    return c.withColumn("place", F.row_number().over(Window.orderBy(F.desc("kept"), "name")))

@@ -191,3 +191,20 @@ def test_index_of_cells_finds_neighbours(spark):
     assert vectors.recall(found, vectors.nearest(e, asked, 10), 10).first()["recall_at_k"] >= 0.9
     assert rows(vectors.search(index, asked, 10, len(index.centroids)), "query_id", "rank") == rows(vectors.nearest(e, asked, 10), "query_id", "rank")
     assert vectors.search(vectors.build_index(e.limit(0)), asked, 3).count() == 0
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    def fake(master, folder=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: folder), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master=master))
+
+    assert storage.shared_dir(fake("spark://host:7077", "hdfs://x/y")) == "hdfs://x/y"
+    for master in ("spark://host:7077", "local-cluster[3,2,1024]", "yarn"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            storage.shared_dir(fake(master))
+
+
+def test_values_by_their_fields(spark):
+    df = spark.createDataFrame([("total", "RM 1,234.5"), ("total", "x"), ("date", "31/12/2024"), ("vendor_name", "  A  B "), ("other", " As Is "), ("date", None)], "f string, v string")
+    assert [r[0] for r in df.select(T.normalize_value("f", "v")).collect()] == ["1234.50", None, "2024-12-31", "a b", " As Is ", None]
