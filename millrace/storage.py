@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 CHECKPOINT = "spark.checkpoint.dir"
 
@@ -82,6 +82,21 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of input that are worth a task of their own where rows are worked on in Python.
+TASK_BYTES = 4 << 20
+
+
+def spread(df: DataFrame, key: str | Column, of: DataFrame | None = None) -> DataFrame:
+    """df in as many partitions as there are cores, for work in Python, if its input (``of``) is so small that Spark makes fewer; else df as it is.
+
+    Small files, and small results of a shuffle, are packed into one task, which is right for work that takes no longer than the
+    reading. Only the layout depends on it.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str((df if of is None else of)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(n, key) if size < n * TASK_BYTES else df
+
+
 def ship(spark: SparkSession) -> None:
     """Give the package to the session's Python workers, for where it isn't installed on the executors. Once a context."""
     sc = spark.sparkContext
