@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from millrace.functions.similarity import lcs_lengths
 from millrace.llm.groups import components
 from millrace.llm.names import fold
-from millrace.storage import stage
+from millrace.storage import spread, stage
 
 #: Places kept in the search, with all that tie with the last of them.
 BEAM = 4
@@ -141,7 +141,8 @@ def parsed(receipts: DataFrame) -> DataFrame:
             got = [(a, read_address(a)) for a in b["address"]]
             yield pd.DataFrame([(a, *(p[f] for f in FIELDS)) for a, p in got if p], columns=["address", *FIELDS])
 
-    return receipts.select(F.col("vendor_address").alias("address")).where("address is not null").distinct().mapInPandas(run, "address string, " + PARSED)
+    rows = receipts.select(F.col("vendor_address").alias("address")).where("address is not null").distinct()
+    return spread(rows, "address", receipts).mapInPandas(run, "address string, " + PARSED)
 
 
 def _with_ratio(df: DataFrame, a: str, b: str, name: str) -> DataFrame:

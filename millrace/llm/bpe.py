@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from millrace.storage import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 MOST_VOCABULARY_BYTES = 64 << 20
 #: Texts are encoded in blocks of about so many characters; a longer text is a block of its own.
@@ -158,7 +160,7 @@ def token_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabula
     """(key, ids array<int>): the ids of every row's text, without special tokens, whose strings are ordinary text here.
 
     A null, and an empty text, give an empty array; blank texts are encoded as they are. Texts are encoded whole; repeated
-    rows give repeated rows; other columns are not read. No shuffle takes place.
+    rows give repeated rows; other columns are not read. No shuffle takes place, but for inputs too small for a task on each core.
     """
     file = Path(vocabulary).read_text(encoding="utf-8")
     if len(file.encode()) > MOST_VOCABULARY_BYTES:
@@ -180,4 +182,4 @@ def token_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabula
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), encoder.encode(texts.slice(i, j - i).to_pylist())], [key, "ids"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return spread(docs.select(key, text), key, docs).mapInArrow(run, f"`{key}` {kind}, ids array<int>")

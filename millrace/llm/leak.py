@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from millrace.llm.stuffing import FUNCTION
-from millrace.storage import stage
+from millrace.storage import spread, stage
 
 #: Words in a window; template words that a window needs to be joined by single slots.
 WINDOW, LEAST_WORDS = 5, 2
@@ -389,7 +389,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str
         yield pa.RecordBatch.from_arrays([pa.nulls(1, docs_key), pa.nulls(1, pa.string()), *lists], NEAR)
 
     # texts go on only for documents with a window whose template and slots an item has
-    near = stage(docs.select(key, text).mapInArrow(candidates, f"`{key}` {kind}, `{text}` string, windows array<bigint>, places array<int>, n array<bigint>"), "near-items")
+    near = stage(spread(docs.select(key, text), key, docs).mapInArrow(candidates, f"`{key}` {kind}, `{text}` string, windows array<bigint>, places array<int>, n array<bigint>"), "near-items")
     counted = near.where("n is not null").select(F.explode(F.arrays_zip(F.col("windows").alias("name"), "n")).alias("x")).groupBy("x.name").agg(F.sum("x.n").alias("n"))
     by_number = {r["name"]: r["n"] for r in counted.collect()}  # at most a row for each name in the items
     held.settle({w: by_number.get(k, 0) for w, k in held.every_name.items()})

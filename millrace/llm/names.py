@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.similarity import lcs_length, lcs_lengths
 from millrace.llm.groups import components
-from millrace.storage import stage
+from millrace.storage import spread, stage
 
 SUFFIX = 5
 #: A block of more classes is compared in pieces.
@@ -175,8 +175,8 @@ def read_name(name: str | None) -> tuple[str, str, str, str, str, str] | None:
     return "either" if either else "org", apart, one, two, "", ""
 
 
-def readings(names: DataFrame, key: str = "id", name: str = "name") -> DataFrame:
-    """(key, reading): the names that can be read."""
+def readings(names: DataFrame, key: str = "id", name: str = "name", of: DataFrame | None = None) -> DataFrame:
+    """(key, reading): the names that can be read. of: the table that names come from, by whose size they are spread over tasks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -186,7 +186,7 @@ def readings(names: DataFrame, key: str = "id", name: str = "name") -> DataFrame
             out.insert(0, key, b[key].to_numpy()[keep])
             yield out
 
-    return names.select(key, name).mapInPandas(run, f"`{key}` {names.schema[key].dataType.simpleString()}, {READING}")
+    return spread(names.select(key, name), key, of).mapInPandas(run, f"`{key}` {names.schema[key].dataType.simpleString()}, {READING}")
 
 
 def _keys(c: DataFrame) -> DataFrame:
@@ -265,12 +265,12 @@ def _same_joined(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
     return (best >= JOINED) & np.array([min(len(x), len(y)) >= 8 for x, y in zip(ab, cd)], bool)
 
 
-def entities(names: DataFrame, key: str = "id", name: str = "name", common: int = COMMON) -> DataFrame:
+def entities(names: DataFrame, key: str = "id", name: str = "name", common: int = COMMON, of: DataFrame | None = None) -> DataFrame:
     """(key, entity): each record with a readable name, and its entity, for names: (key, name), one row a record.
 
     Null, blank and placeholder names have no entity; equal names always share one; repeated rows count once.
     """
-    read = readings(names, key, name)
+    read = readings(names, key, name, of)
     fields = ["kind", "apart", "one", "two", "first", "middle"]
     read = stage(read.withColumn("class", F.xxhash64(*fields)), "readings")
     classes = stage(read.select("class", *fields).dropDuplicates(["class"]), "classes")
@@ -291,7 +291,7 @@ def entities(names: DataFrame, key: str = "id", name: str = "name", common: int
                 yield b.loc[same_entity(a, c), ["x", "y"]]
 
     flat = both.select("x", "y", *(F.col(f"{p}_name.{f}").alias(f"{p}_{f}") for p in ("x", "y") for f in fields))
-    links = flat.mapInPandas(compare, "x long, y long")
+    links = spread(flat, "x", read).mapInPandas(compare, "x long, y long")
     groups = components(links, "x", "y").select(F.col("record_id").cast("long").alias("class"), F.col("group_id").cast("long").alias("entity"))
     return read.select(key, "class").distinct().join(groups, "class", "left").select(key, F.coalesce("entity", "class").alias("entity"))
 
@@ -316,6 +316,6 @@ def linked_records(records: DataFrame, pairs: DataFrame, common: int = COMMON) -
 
     The rows are as many as the entities' pairs are; all of them are asked for. Other columns are not read.
     """
-    e = stage(entities(record_names(records, pairs), common=common), "entities")
+    e = stage(entities(record_names(records, pairs), common=common, of=records), "entities")
     a, b = e.select("entity", F.col("id").alias("record_a")), e.select("entity", F.col("id").alias("record_b"))
     return a.join(b, "entity").where("record_a < record_b").select("record_a", "record_b")

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.storage import stage
+from millrace.storage import spread, stage
 
 EMPTY, TRUNCATED, REFUSAL, COPY, LANGUAGE = "empty", "truncated", "refusal", "copies_question", "other_language"
 #: Shingle containment and alignment that make a copy; share of a template's words in order that makes a refusal.
@@ -398,7 +398,7 @@ def defects(results: DataFrame, questions: DataFrame) -> DataFrame:
             made = pd.DataFrame(rows, columns=["result_id", "defect", "w1", "w2", "head", "whole", "closing", "inner"])
             yield made.astype({c: "Int64" for c in ("result_id", "closing", "inner")})
 
-    checked = stage(a.mapInPandas(check, _CHECKED), "checked")
+    checked = stage(spread(a, "result_id", results).mapInPandas(check, _CHECKED), "checked")
     usage = checked.where("closing is not null").groupBy("w1", "w2").agg(F.sum("closing").alias("closing"), F.sum("inner").alias("inner"))
     checked = checked.where("closing is null").drop("closing", "inner")
     unclosed = checked.where("defect is null").drop("defect")

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.storage import spread
+
 #: Common function words.
 FUNCTION = """
 the a an of and or but to in on at by for from with without is are was were be been it its this that these those as if when while
@@ -306,7 +308,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
                     total[v] = total.get(v, 0) + t
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["gram", "n"])
 
-    rows = docs.select(F.lit(0).alias("k"), text).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
+    rows = spread(docs.select(F.lit(0).alias("k"), text), F.xxhash64(text), docs).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
     return Model(rows["gram"].to_numpy(np.int64), rows["n"].to_numpy(np.int64))
 
 
@@ -324,7 +326,7 @@ def scores(docs: DataFrame, model: Model | None = None, key: str = "doc_id", tex
                 nats = pa.array(np.exp(p.nats), mask=p.size == 0)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(texts)), pa.array(p.size.astype(np.int64)), nats, pa.array(is_stuffed(p))], [key, "n_tokens", "perplexity", "stuffed"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens long, perplexity double, stuffed boolean")
+    return spread(docs.select(key, text), key, docs).mapInArrow(run, f"`{key}` {kind}, n_tokens long, perplexity double, stuffed boolean")
 
 
 def stuffed_pages(docs: DataFrame, model: Model | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
