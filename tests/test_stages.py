@@ -208,3 +208,9 @@ def test_a_cluster_must_name_its_shared_folder():
 def test_values_by_their_fields(spark):
     df = spark.createDataFrame([("total", "RM 1,234.5"), ("total", "x"), ("date", "31/12/2024"), ("vendor_name", "  A  B "), ("other", " As Is "), ("date", None)], "f string, v string")
     assert [r[0] for r in df.select(T.normalize_value("f", "v")).collect()] == ["1234.50", None, "2024-12-31", "a b", " As Is ", None]
+
+
+def test_small_inputs_are_spread(spark):
+    assert storage.spread(spark.range(10).coalesce(1), "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    large = spark.range(10_000_000).coalesce(1)
+    assert storage.spread(large, "id").rdd.getNumPartitions() == 1 == storage.spread(spark.range(10).coalesce(1), "id", large).rdd.getNumPartitions()
