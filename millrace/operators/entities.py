@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.similarity import with_lcs
+from millrace.functions.similarity import with_lcs, with_letter_bags
 from millrace.functions.text import name_tokens, strip_company_endings
 from millrace.operators.ordinals import with_ordinal
 from millrace.storage import stage
@@ -16,41 +16,49 @@ def scored_pairs(names: DataFrame, name: str = "name", threshold: int = 70, auto
 
     score = int(0.6 fuzzy + 0.4 * 100 * Jaccard of the token sets), fuzzy = rounded LCS ratio of the cleaned names in percent. The
     threshold bounds the Jaccard similarity from below, (threshold - 60) / 40, and with it the number of shared tokens; so only a
-    name's rarest tokens are indexed, as many as a pair of these sizes may differ in and one more. Frequent tokens
-    meet only where they decide, and a pair that shares a single token must have nearly the same length. Names without a token pair with none.
+    name's rarest tokens are indexed, as many as a pair of these sizes may differ in and one more. Pairs meet by sizes and by how many
+    tokens they share: the fewer, the more alike their letters must be, and a pair whose lengths or letters, in any order, are too far
+    apart is dropped where it meets, before it is written anywhere. Names without a token pair with none.
     """
     least = max(0.0, (threshold - 60) / 40)
     n = names.select(F.col(name).alias("name")).where("name is not null").distinct()
     n = n.withColumn("tokens", name_tokens("name")).withColumn("clean", F.array_join("tokens", " ")).withColumn("tokens", F.array_distinct("tokens")).where("size(tokens) > 0")
     # ids are places in the names' order, so that the lesser id is the lesser name
     n = stage(with_ordinal(n, "name", name="id"), "names")
-    df = n.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    ranked = n.select("id", F.length("clean").alias("letters"), F.explode("tokens").alias("token")).join(df, "token").groupBy("id", "letters")
-    ranked = ranked.agg(F.array_sort(F.collect_list(F.struct("df", F.xxhash64("token").alias("token")))).alias("t")).select("id", "letters", F.col("t.token").alias("rare"), F.size("t").alias("m"))
-    ranked = stage(ranked, "ranked")
-    # for partners of k tokens, at least `need` tokens are shared: one of the first m - need + 1 rarest is
-    most = int(ranked.agg(F.max("m")).first()[0] or 1)
-    need = F.greatest(F.lit(1), F.ceil(F.lit(least) * (F.col("m") + F.col("k")) / (1 + least) - 1e-9))
-    sized = ranked.select("id", "rare", "m", "letters", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("k")).where(need <= F.least("m", "k"))
-    shared_least = F.explode(F.array_distinct(F.array(need, F.when((need == 1) & (F.col("m") > 1) & (F.col("k") > 1), F.lit(2)).otherwise(need)).cast("array<int>")))
-    sized = sized.withColumn("need", shared_least)
-    # a pair that shares one token only must be almost the same otherwise: so large a part of its letters may be missing on either side
-    sharing_one = F.ceil((threshold - F.lit(40.0) / (F.col("m") + F.col("k") - 1)) / 0.6 - 1e-9)
-    part = F.greatest(1 - (sharing_one - 0.5) / 100, F.lit(0.0)) + 1e-6
-    # such names meet by bands of lengths, next to each other, as wide as that part allows; which also splits frequent tokens
-    ratio = (1 + F.least(part, F.lit(0.9))) / (1 - F.least(part, F.lit(0.9)))
-    band = F.when(F.col("need") == 1, F.floor(F.log(F.greatest(F.col("letters"), F.lit(1)).cast("double")) / F.log(ratio) + 1e-9))
-    keys = sized.select("id", "m", "k", "need", "letters", band.cast("int").alias("band"), F.explode(F.slice("rare", 1, F.col("m") - F.col("need") + 1)).alias("token"))
-    a = keys.select(F.col("id").alias("id_a"), "m", "k", "need", "token", F.coalesce("band", F.lit(-9)).alias("band"), F.col("letters").alias("letters_a"))
+    token = n.select("id", F.explode(F.transform("tokens", lambda t: F.xxhash64(t))).alias("token"))
+    df = token.groupBy("token").agg(F.count("*").alias("df"))
+    ranked = token.join(df.hint("merge"), "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
+    ranked = with_letter_bags(n.select("id", "clean"), "clean").select("id", F.length("clean").alias("letters"), "bag", "bag2").join(ranked.hint("merge"), "id")
+    ranked = stage(ranked.select("id", "letters", "bag", "bag2", "t", F.size("t").alias("m")), "ranked")
+    sizes = sorted(r.m for r in ranked.select("m").distinct().collect())
+    # for partners of k tokens, at least `need` tokens are shared; those that share from `low` to `high` of them meet by one of the first m - low + 1 rarest
+    fewer, more = F.least("m", "k"), F.greatest("m", "k")
+    need = F.greatest(F.lit(1), F.ceil(F.lit(least) * (F.col("m") + F.col("k")) / (1 + least) - 1e-9)).cast("int")
+    steps = [(0, 0)] + [(1 << i, (2 << i) - 1) for i in range((sizes[-1] if sizes else 1).bit_length())]
+    steps = F.filter(F.array(*(F.struct(F.lit(x).alias("low"), F.lit(y).alias("high")) for x, y in steps)), lambda s: s["low"] <= fewer - need)
+    sized = ranked.withColumn("k", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>"))).where(need <= fewer).withColumn("step", F.explode(steps))
+    sized = sized.withColumn("low", need + F.col("step.low")).withColumn("high", F.least(need + F.col("step.high"), fewer))
+    # so large a part of both names' letters may be missing on either side; names that don't share all tokens differ in a letter at least
+    sharing = F.ceil((threshold - 40 * F.col("high") / (F.col("m") + F.col("k") - F.col("high"))) / 0.6 - 1e-9)
+    sized = sized.withColumn("part", F.least(F.greatest(1 - (sharing - 0.5) / 100, F.lit(0.0)) + 1e-6, F.lit(1.0))).withColumn("differ", F.col("high") < more)
+    ratio = (1 + F.col("part")) / (1 - F.least("part", F.lit(0.9)))
+    sized = sized.where(~F.col("differ") | (F.col("part") >= 0.9) | (F.col("part") * F.col("letters") * (1 + ratio) >= 1))
+    # where that part is small, names meet by bands of lengths, next to each other, as wide as it allows; which also splits frequent tokens
+    band = F.when(F.col("part") < 0.2, F.floor(F.log(F.greatest(F.col("letters"), F.lit(1)).cast("double")) / F.log(ratio) + 1e-9).cast("int"))
+    rarest = F.filter(F.slice("t", 1, F.col("m") - F.col("low") + 1), lambda t: t["df"] > 1)["token"]
+    keys = sized.select("id", "m", "k", "low", "part", "differ", "letters", "bag", "bag2", band.alias("band"), F.explode(rarest).alias("token"))
+    # the name of fewer tokens, or of the lesser id, is looked up among the others
+    a = keys.where("m <= k").select(F.col("id").alias("x"), "m", "k", "low", "token", F.coalesce("band", F.lit(-9)).alias("band"), "part", "differ", *(F.col(c).alias(f"{c}_x") for c in ("letters", "bag", "bag2")))
     near = F.explode(F.when(F.col("band").isNull(), F.array(F.lit(-9))).otherwise(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    b = keys.select(F.col("id").alias("id_b"), F.col("m").alias("k"), F.col("k").alias("m"), "need", "token", near.alias("band"), F.col("letters").alias("letters_b"))
-    total, apart = F.col("letters_a") + F.col("letters_b"), F.abs(F.col("letters_a") - F.col("letters_b"))
-    missing = total * (1 - (sharing_one - 0.5) / 100) + 1e-9
-    close = (apart <= missing) & ((apart > 0) | (missing >= 2) | (F.col("m") + F.col("k") == 2))
-    pairs = a.join(b, ["token", "m", "k", "need", "band"]).where((F.col("id_a") < F.col("id_b")) & ((F.col("need") > 1) | close)).select("id_a", "id_b").distinct()
+    b = keys.where("m >= k").select(F.col("id").alias("y"), F.col("m").alias("k"), F.col("k").alias("m"), "low", "token", near.alias("band"), *(F.col(c).alias(f"{c}_y") for c in ("letters", "bag", "bag2")))
+    apart, missing = F.abs(F.col("letters_x") - F.col("letters_y")), F.col("part") * (F.col("letters_x") + F.col("letters_y"))
+    uncommon = F.bit_count(F.col("bag_x").bitwiseXOR(F.col("bag_y"))) + F.bit_count(F.col("bag2_x").bitwiseXOR(F.col("bag2_y")))
+    close = (F.greatest(apart, uncommon) <= missing) & (~F.col("differ") | (missing >= F.when(apart > 0, 1).otherwise(2)))
+    pairs = a.join(b.hint("merge"), ["token", "m", "k", "low", "band"]).where(((F.col("m") < F.col("k")) | (F.col("x") < F.col("y"))) & close)
+    pairs = pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
     codes = n.select("id", F.transform("tokens", lambda t: F.xxhash64(t)).alias("tokens"), F.length("clean").alias("letters"))
     for side in ("a", "b"):
-        pairs = pairs.join(codes.select(F.col("id").alias(f"id_{side}"), F.col("tokens").alias(f"tokens_{side}"), F.col("letters").alias(f"letters_{side}")), f"id_{side}")
+        pairs = pairs.join(codes.select(F.col("id").alias(f"id_{side}"), F.col("tokens").alias(f"tokens_{side}"), F.col("letters").alias(f"letters_{side}")).hint("merge"), f"id_{side}")
     shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
     jaccard = shared / (F.size("tokens_a") + F.size("tokens_b") - shared)
     length = F.col("letters_a") + F.col("letters_b")
@@ -58,7 +66,7 @@ def scored_pairs(names: DataFrame, name: str = "name", threshold: int = 70, auto
     pairs = stage(pairs.withColumn("jaccard", jaccard).where(bound >= threshold).select("id_a", "id_b", "jaccard"), "near-pairs")
     # the names themselves come in only now
     for side in ("a", "b"):
-        pairs = pairs.join(n.select(F.col("id").alias(f"id_{side}"), F.col("name").alias(f"name_{side}"), F.col("clean").alias(f"clean_{side}")), f"id_{side}")
+        pairs = pairs.join(n.select(F.col("id").alias(f"id_{side}"), F.col("name").alias(f"name_{side}"), F.col("clean").alias(f"clean_{side}")).hint("merge"), f"id_{side}")
     pairs = pairs.select("name_a", "name_b", "clean_a", "clean_b", "jaccard")
     length = F.length("clean_a") + F.length("clean_b")
     scored = with_lcs(pairs, "clean_a", "clean_b")

@@ -78,6 +78,36 @@ def test_scored_pairs_against_all_pairs(spark):
     assert entities.scored_pairs(df.limit(0)).collect() == []
 
 
+def test_scored_pairs_of_misspelt_and_long_names(spark):
+    rng = random.Random(7)
+    own = ["".join(rng.choice("aeioubdgklmnrst") for _ in range(rng.randrange(4, 10))) for _ in range(25)]
+
+    def typed(word):
+        i = rng.randrange(len(word))
+        return word[:i] + rng.choice(["", "x", word[i] * 2]) + word[i + 1 :] if rng.random() < 0.3 else word
+
+    names = [" ".join(typed(w) for w in rng.sample(own[:9], rng.randrange(1, 8))) + rng.choice(["", " financial services", " fund"]) for _ in range(220)]
+    names += ["a" * 450 + " b c", "a" * 449 + " b c", "a" * 449 + " bc", " ".join(own), " ".join(own[1:])]
+    got = {(r.name_a, r.name_b): (r.fuzzy, r.score) for r in entities.scored_pairs(spark.createDataFrame([(n,) for n in names], "name string")).collect()}
+    assert got == brute_pairs(names) and len(got) > 50
+
+
+def test_frequent_tokens_alone_make_no_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("aeiou") + rng.choice("bdfgklmnprstvz") for _ in range(4))
+    names = sorted({f"{word()} {word()} financial services" for _ in range(400)})
+    staged = {}
+
+    def counted(df, name="stage", stage=entities.stage):
+        out = stage(df, name)
+        staged[name] = out.count()
+        return out
+
+    monkeypatch.setattr(entities, "stage", counted)
+    assert entities.scored_pairs(spark.createDataFrame([(n,) for n in names], "name string")).count() == len(brute_pairs(names))
+    assert staged["near-pairs"] < len(names)  # all pairs share two tokens of four: 79,800
+
+
 def test_found_in(spark):
     wanted = spark.createDataFrame([("1", "Acme Inc", None), ("2", "Zed", ["Zed Systems", "Blue"]), ("3", "abc", [])], "id string, name string, aliases array<string>")
     names = spark.createDataFrame([("The Acme of X",), ("blue, llc",), ("abcd",), (None,)], "name string")
