@@ -76,3 +76,25 @@ def test_every_result_has_its_answer_or_null(spark, tmp_path):
     rows = [(*r[:4], (r[4],) if r[4] else None) for r in rows]
     got = run(spark, tmp_path, "answer_extract", batch_results=(rows, schema))
     assert {r.result_id: r.answer for r in got} == {1: "12", 2: None, 3: None, 4: None, 5: "7"} and len(got) == 5
+
+
+def test_company_pipeline_where_frequent_tokens_are_shared(spark, tmp_path, monkeypatch):
+    import itertools
+
+    from millrace.operators import entities
+
+    words = ["".join(x) for x in itertools.product(("bad", "kel", "gom", "tuf"), ("izor", "upan", "evih", "oluk"), ("ast", "eck"))]
+    names = [f"{a} {b} Financial Services" for a, b in zip(words * 6, words[5:] + words[9:] + words[17:] + words[3:] + words[25:] + words[30:]) if a != b]
+    rows = [(f"r{i}", n, "web") for i, n in enumerate(sorted(set(names)))] + [("late", f"{names[0].upper()} Inc", "web"), ("late2", f"The {names[0]}", "file")]
+    staged = {}
+
+    def counted(df, name="stage", stage=entities.stage):
+        out = stage(df, name)
+        staged[name] = out.count()
+        return out
+
+    monkeypatch.setattr(entities, "stage", counted)
+    got = run(spark, tmp_path, "company_pipeline", company_records=(rows, "id string, name string, origin string"))
+    # the upper-case spelling is the least of the three; both others are later names of automatic pairs
+    assert [(r.value, r.n) for r in got] == [("web", len(rows) - 2)]
+    assert staged["near-pairs"] < len(rows) ** 2 / 10  # two tokens of four are shared by all
