@@ -72,3 +72,48 @@ def test_large_blocks_compare_all_their_pairs(spark):
 def test_two_words_may_be_a_person(spark):
     rows = [("a", "Priya Raghunathan"), ("b", "P. Raghunathan"), ("c", "Raghunatan, Priya"), ("d", "Q. Raghunathan"), ("e", "Raghunathan Priya Ltd"), ("f", "Q Solomon")]
     assert found(spark, rows, []) == [("a", "b"), ("a", "c"), ("a", "e"), ("b", "c"), ("b", "e"), ("c", "e")]
+
+
+def test_pairs_are_compared_where_their_block_is(spark, monkeypatch):
+    plans = []
+
+    def seen(links, *columns, components=names.components):
+        plans.append(links._jdf.queryExecution().executedPlan().toString())
+        return components(links, *columns)
+
+    monkeypatch.setattr(names, "components", seen)
+    assert len(found(spark, RECORDS, PAIRS)) == 7
+    # only blocks are shuffled: pairs of classes, or their readings by class, are not
+    shuffled = [x.split("Exchange ")[1] for x in plans[0].splitlines() if "Exchange " in x]
+    assert shuffled and all(x.startswith("hashpartitioning(block#") for x in shuffled)
+
+
+def test_what_is_compared_loses_no_entity(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    fields = ["kind", "apart", "one", "two", "first", "middle"]
+    stems = ["palunast", "gorim", "tovuram", "kolumbreck", "za"]
+
+    def typed(word):
+        i = rng.randrange(len(word))
+        return word[:i] + rng.choice(["", "x", word[i]]) + word[i + 1 :] if rng.random() < 0.6 else word[: rng.randrange(3, 12)]
+
+    def reading():
+        kind, one, two = rng.choice(["person", "org", "either"]), typed(rng.choice(stems)), typed(rng.choice(stems))
+        given = rng.choice(["", "g", "gorim", "p", "palunast"]) if kind == "person" else ""
+        return kind, "", one, "" if kind == "person" or kind == "org" and rng.random() < 0.2 else two, given, ""
+
+    rows = [(i, *reading()) for i in range(250)]
+    c = names._bags(spark.createDataFrame(rows, "class long, " + names.READING))
+    x, y = (c.select(*(F.col(n).alias(f"{p}_{n}") for n in c.columns)) for p in ("x", "y"))
+    kept = {tuple(r) for r in x.join(y, names._comparable(*(lambda n, p=p: F.col(f"{p}_{n}") for p in ("x", "y")))).select("x_class", "y_class").collect()}
+    import pandas as pd
+
+    every = [(a, b) for a in rows for b in rows]
+    a, b = (pd.DataFrame([e[i][1:] for e in every], columns=fields) for i in (0, 1))
+    same = names.same_entity(a, b)
+    linked = {(p[0], q[0]) for (p, q), s in zip(every, same) if s}
+    assert linked <= kept and len(linked) > 1000 and len(kept) < len(every) / 2
