@@ -41,7 +41,7 @@ RUNNING, NEARBY = 12, 8
 #: A sentence without slots that so many items hold is stock. A name is no slot if that many times more documents have it than an item's rarer names.
 SHARED, OFTEN = 3, 4
 MOST_ITEM_WINDOWS = 2_000_000
-BLOCK_CHARS = 1_000_000
+BLOCK_CHARS, BLOCK_MEETINGS = 1_000_000, 200_000
 NUMBER, UNIT, NAME = 1, 2, 3
 # Units.
 UNITS = """percent inch inches foot feet yard yards mile miles mm cm m km g kg mg lb lbs oz ounce ounces pound pounds gram grams kilogram kilograms tonne tonnes litre
@@ -208,6 +208,66 @@ class Items:
             raise ValueError(f"{len(self.rows)} windows of items; the bound is {MOST_ITEM_WINDOWS}")
 
 
+class Windows:
+    """The items' windows by key, as columns, to be met by those of documents."""
+
+    def __init__(self, own: Items):
+        rows = sorted(own.rows, key=lambda r: r[0])
+        self.items = list(own.words)
+        number = {i: n for n, i in enumerate(self.items)}
+        self.key, self.place, self.need, self.total = (np.array([r[c] for r in rows], np.int64) for c in (0, 2, 3, 4))
+        self.item = np.array([number[r[1]] for r in rows], np.int64)
+        self.slots = np.array([len(r[5]) for r in rows], np.int64)
+        self.first_slot = np.cumsum(self.slots) - self.slots
+        self.slot = np.array([x for r in rows for x in r[5]], np.int64)
+        self.running = np.array([min(RUNNING, len(w)) for w in own.words.values()], np.int64) - (WINDOW - 1)
+
+    def meetings(self, windows: pa.ListArray) -> np.ndarray:
+        """Of each row, how many times its windows meet the items'."""
+        sought, ends = windows.flatten().to_numpy(), windows.offsets.to_numpy()
+        met = np.r_[0, np.cumsum(np.searchsorted(self.key, sought, "right") - np.searchsorted(self.key, sought, "left"))]
+        return np.diff(met[ends - ends[0]])
+
+    def near(self, windows: pa.ListArray, places: pa.ListArray) -> Iterator[tuple[int, int, list[int]]]:
+        """(row, item, places): items of which a row's windows have enough slots, or running words, and where; in order of rows."""
+        size = np.diff(windows.offsets.to_numpy())
+        sought, where, row = windows.flatten().to_numpy(), places.flatten().to_numpy().astype(np.int64), np.repeat(np.arange(len(size)), size)
+        low, high = np.searchsorted(self.key, sought, "left"), np.searchsorted(self.key, sought, "right")
+        of, w = _spans(low, high - low)
+        met = np.stack([row[of], self.item[w], where[of], self.place[w]])
+        order = np.lexsort(met[::-1])
+        met, w = met[:, order], w[order]
+        if not len(w):
+            return
+        begins = np.flatnonzero(np.r_[True, (met[:, 1:] != met[:, :-1]).any(axis=0)])
+        agreeing = np.diff(np.r_[begins, len(w)])
+        enough = agreeing >= self.need[w[begins]]
+        kept = np.repeat(enough, agreeing)
+        begins, agreeing = begins[enough], agreeing[enough]
+        # what is kept, by row and item
+        n = len(self.items)
+        pair, at, place, whole = met[0, begins] * n + met[1, begins], met[2, begins], met[3, begins], agreeing == self.total[w[begins]]
+        pairs, number = np.unique(pair, return_inverse=True)
+        running = _distinct(number[whole], place[whole], len(pairs))
+        of, s = _spans(self.first_slot[w[kept]], self.slots[w[kept]])
+        slots = _distinct(np.searchsorted(pairs, met[0, kept] * n + met[1, kept])[of], self.slot[s], len(pairs))
+        bounds = np.searchsorted(pair, pairs, "left"), np.searchsorted(pair, pairs, "right")
+        for k in np.flatnonzero((slots >= PASSAGE_SLOTS) | (running >= self.running[pairs % n])):
+            yield int(pairs[k] // n), self.items[pairs[k] % n], np.unique(at[bounds[0][k] : bounds[1][k]]).tolist()
+
+
+def _spans(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of spans of so many numbers from a first one on: the span of each number, and the number."""
+    of = np.repeat(np.arange(len(size)), size)
+    return of, np.arange(len(of)) - (np.cumsum(size) - size - first)[of]
+
+
+def _distinct(group: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """How many distinct values each of n groups has; values are no negative numbers."""
+    most = int(value.max(initial=0)) + 1
+    return np.bincount(np.unique(group * most + value) // most, minlength=n)
+
+
 def _aligned(item: list[str], doc: list[str]) -> list[tuple[int, int]]:
     """A longest common subsequence of two short word lists, as pairs of places; rows of numpy, one word of the document each."""
     index = {w: k for k, w in enumerate(dict.fromkeys(item))}
@@ -337,7 +397,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str
     bits = np.zeros(1 << 22, bool)
     bits[known.view(np.uint64) >> np.uint64(42)] = True
     kind, item_kind = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
-    docs_key = to_arrow_type(docs.schema[key].dataType)
+    docs_key, items_key = to_arrow_type(docs.schema[key].dataType), to_arrow_type(items.schema[item_key].dataType)
     NEAR = [key, text, "windows", "places", "n"]
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,36 +454,30 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str
     by_number = {r["name"]: r["n"] for r in counted.collect()}  # at most a row for each name in the items
     held.settle({w: by_number.get(k, 0) for w, k in held.every_name.items()})
     settled = spark.sparkContext.broadcast(held)
-    near = near.where("n is null").drop("n")
-    kinds = [pa.int64(), to_arrow_type(items.schema[item_key].dataType), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32())]
-    columns = [pa.array(list(c), t) for c, t in zip(zip(*held.rows) if held.rows else [()] * len(kinds), kinds)]
-    windows = stage(spark.createDataFrame(pa.table(columns, ["window", "item", "item_place", "need", "total", "at"])), "item-windows")
-    lengths = spark.createDataFrame(pa.table([pa.array(list(held.words), kinds[1]), pa.array([len(w) for w in held.words.values()], pa.int32())], ["item", "length"]))
-    one = F.explode(F.arrays_zip(F.col("windows").alias("window"), F.col("places").alias("place")))
-    found = near.select(key, one.alias("w")).select(key, "w.window", "w.place")
-    # the windows' number is checked, so they may be sent to every task; both groupings share one shuffle
-    met = found.join(F.broadcast(windows), "window").repartition(key, "item")
-    met = met.groupBy(key, "item", "place", "item_place", "need", "total").agg(F.count("*").alias("agreeing"), F.flatten(F.collect_set("at")).alias("at")).where("agreeing >= need")
-    pairs = met.groupBy(key, "item").agg(
-        F.array_sort(F.collect_set("place")).alias("places"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("slots"),
-        F.count_distinct(F.when(F.col("agreeing") == F.col("total"), F.col("item_place"))).alias("whole"),
-    )
-    running = F.least(F.lit(RUNNING), "length") - (WINDOW - 1)
-    pairs = pairs.join(F.broadcast(lengths), "item").where((F.col("slots") >= PASSAGE_SLOTS) | (F.col("whole") >= running))
-    pairs = pairs.groupBy(key).agg(F.collect_list(F.struct("item", "places")).alias("near"))
-
-    def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = settled.value
-        for b in batches:
-            out = []
-            for k, t, near in zip(b[key], b[text], b["near"]):
-                doc = words(t)
-                out += [(k, x["item"], *f) for x in near if (f := holds(own, x["item"], doc, list(x["places"])))[0] != NOT]
-            yield pd.DataFrame(out, columns=[key, item_key, "sure", "sentence"])
-
-    both = near.select(key, text).join(pairs, key)
-    checked = stage(both.mapInPandas(verified, f"`{key}` {kind}, `{item_key}` {item_kind}, sure int, sentence int").distinct(), "checked-items")
+    near = near.where(F.col("n").isNull() & F.col(key).isNotNull()).drop("n")
+    windows = spark.sparkContext.broadcast(Windows(held))
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, sought = settled.value, windows.value
+        for batch in batches:
+            at, out, doc, last = 0, [], [], -1
+            meetings = np.r_[0, np.cumsum(sought.meetings(batch.column(2)))]
+            while at < len(batch):
+                # so many rows that their meetings are a bounded number, one at least
+                begin, at = at, max(at + 1, int(np.searchsorted(meetings, meetings[at] + BLOCK_MEETINGS, "right")) - 1)
+                for d, item, places in sought.near(*(batch.column(c).slice(begin, at - begin) for c in (2, 3))):
+                    if begin + d != last:
+                        last = begin + d
+                        doc = words(batch.column(1)[last].as_py())
+                    f = holds(own, item, doc, places)
+                    if f[0] != NOT:
+                        out.append((last, item, *f))
+            rows, found, sure, sentence = zip(*out) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, items_key), pa.array(sure, pa.int32()), pa.array(sentence, pa.int32())], [key, item_key, "sure", "sentence"])
+
+    # a document is matched and verified where it is: neither its windows nor its text are shuffled
+    both = spread(near.select(key, text, "windows", "places"), key, near)
+    checked = stage(both.mapInArrow(verified, f"`{key}` {kind}, `{item_key}` {item_kind}, sure int, sentence int").distinct(), "checked-items")
     sure = checked.where(F.col("sure") == SURELY).select(key, item_key)
     # at most a row an item, or a sentence of one
     surely = sure.groupBy(item_key).agg(F.count("*").alias("surely"))

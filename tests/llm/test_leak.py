@@ -104,3 +104,11 @@ def test_a_sentence_that_the_corpus_has_without_the_item_is_stock(spark):
     item = "Baker Zuhovar sold 47 loaves to Makitel and 92 to Porusan before noon. " + stock
     docs = [(k, f"Task {k}. " + stock, 0) for k in range(10)] + [(50, "Here: " + item, 0)]
     assert run(spark, docs, [(7, item)]) == [(50, 7)]
+
+
+def test_repeated_documents_and_documents_without_key(spark):
+    text = "the river runs along the old wall and then it turns slowly towards the wide green plain where sheep and goats graze all day long"
+    other = "nothing of this is to be found in what the people of the town tell about the river and the old wall at night"
+    docs = spark.createDataFrame([("d1", text), ("d1", text), ("d2", text), (None, text), ("d3", other), ("d3", text)], "doc_id string, text string")
+    items = spark.createDataFrame([(1, text)], "item_id long, text string")
+    assert sorted(tuple(r) for r in leak.leaks(docs, items).collect()) == [("d1", 1), ("d2", 1), ("d3", 1)]
