@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.similarity import with_lcs, with_letter_bags
@@ -10,18 +10,27 @@ from millrace.functions.text import name_tokens, strip_company_endings
 from millrace.operators.ordinals import with_ordinal
 from millrace.storage import stage
 
+#: Pairs of at least this score are the same without a review.
+AUTOMATIC = 95
 
-def scored_pairs(names: DataFrame, name: str = "name", threshold: int = 70, automatic: int = 95) -> DataFrame:
+
+def scored_pairs(names: DataFrame, name: str = "name", threshold: int = 70, automatic: int = AUTOMATIC) -> DataFrame:
     """(name_a, name_b, fuzzy, score, band): pairs of distinct names that share a token and score at least the threshold.
 
     score = int(0.6 fuzzy + 0.4 * 100 * Jaccard of the token sets), fuzzy = rounded LCS ratio of the cleaned names in percent. The
     threshold bounds the Jaccard similarity from below, (threshold - 60) / 40, and with it the number of shared tokens; so only a
     name's rarest tokens are indexed, as many as a pair of these sizes may differ in and one more. Pairs meet by sizes and by how many
     tokens they share: the fewer, the more alike their letters must be, and a pair whose lengths or letters, in any order, are too far
-    apart is dropped where it meets, before it is written anywhere. Names without a token pair with none.
+    apart is dropped where it meets, before it is written anywhere. Names without a token pair with none. Above a threshold of 80, a
+    name of few tokens pairs only with names of the same tokens; where no other name has them, it is dropped before all that.
     """
     least = max(0.0, (threshold - 60) / 40)
     n = names.select(F.col(name).alias("name")).where("name is not null").distinct()
+    if least > 1 - least:
+        # a pair whose tokens differ has a Jaccard similarity of m / (m + 1) at most, m being the lesser number of tokens
+        tokens = F.array_distinct(name_tokens("name"))
+        n = n.select("name", F.xxhash64(F.array_sort(tokens)).alias("set"), (F.size(tokens) * (1 - least) >= least - 1e-9).alias("may_differ"))
+        n = n.withColumn("same", F.count("*").over(Window.partitionBy("set"))).where("may_differ or same > 1").select("name")
     n = n.withColumn("tokens", name_tokens("name")).withColumn("clean", F.array_join("tokens", " ")).withColumn("tokens", F.array_distinct("tokens")).where("size(tokens) > 0")
     # ids are places in the names' order, so that the lesser id is the lesser name
     n = stage(with_ordinal(n, "name", name="id"), "names")

@@ -109,9 +109,12 @@ def dedup_survivors(spark: SparkSession, d: str) -> DataFrame:
     select value, n, round(n / sum(n) over (), 6) as share from c"""
 )
 def company_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    """Names, scored pairs, later names of automatic pairs dropped, and the distribution of what is left over its origins."""
+    """Names, scored pairs, later names of automatic pairs dropped, and the distribution of what is left over its origins.
+
+    Only automatic pairs decide, so only these are looked for.
+    """
     records = table(spark, d, "company_records").where("id is not null").groupBy("id").agg(F.min("name").alias("name"), F.min("origin").alias("origin"))
-    dup = entities.scored_pairs(records).where("band = 'auto'").select(F.col("name_b").alias("name")).distinct()
+    dup = entities.scored_pairs(records, threshold=entities.AUTOMATIC).where("band = 'auto'").select(F.col("name_b").alias("name")).distinct()
     return voting.shares(records.join(dup, "name", "left_anti"), "origin").select("value", "n", r6("share").alias("share"))
 
 

@@ -98,3 +98,25 @@ def test_company_pipeline_where_frequent_tokens_are_shared(spark, tmp_path, monk
     # the upper-case spelling is the least of the three; both others are later names of automatic pairs
     assert [(r.value, r.n) for r in got] == [("web", len(rows) - 2)]
     assert staged["near-pairs"] < len(rows) ** 2 / 10  # two tokens of four are shared by all
+
+
+def test_company_pipeline_looks_for_automatic_pairs_alone(spark, tmp_path, monkeypatch):
+    import itertools
+
+    from millrace.operators import entities
+
+    words = ["".join(x) for x in itertools.product(("bad", "kel", "gom", "tuf"), ("izor", "upan", "evih"))]
+    names = [f"{a} {b} Services" for a, b in itertools.combinations(words, 2)]
+    rows = [(f"r{i}", n, "web") for i, n in enumerate(names)] + [("late", f"The {names[0]}", "file"), ("odd", "Inc", "file"), ("null", None, "file"), (None, names[1].upper(), "web")]
+    staged = {}
+
+    def counted(df, name="stage", stage=entities.stage):
+        out = stage(df, name)
+        staged[name] = out.count()
+        return out
+
+    monkeypatch.setattr(entities, "stage", counted)
+    got = run(spark, tmp_path, "company_pipeline", company_records=(rows, "id string, name string, origin string"))
+    # of the two spellings of names[0] the one without "The" is the later one
+    assert sorted((r.value, r.n) for r in got) == [("file", 3), ("web", len(names) - 1)]
+    assert (staged["names"], staged["near-pairs"]) == (2, 1)  # many others score 70 and more, which nothing here asks for

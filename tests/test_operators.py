@@ -108,6 +108,30 @@ def test_frequent_tokens_alone_make_no_pairs(spark, monkeypatch):
     assert staged["near-pairs"] < len(names)  # all pairs share two tokens of four: 79,800
 
 
+def test_automatic_pairs_without_the_other_candidates(spark, monkeypatch):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("aeiou") + rng.choice("bdfgklmnprstvz") for _ in range(n))
+    own, long, longer = [word(4) for _ in range(12)], [word(8) for _ in range(14)], [word(15) for _ in range(7)]
+    names = sorted({f"{a} {b} financial services" for a, b in itertools.combinations(own, 2)})
+    some = names[::6]
+    names += [n.upper() for n in some] + [f"The {n}, Inc." for n in some] + [" ".join(n.split()[::-1]) for n in some] + [n + " services" for n in some]
+    # one token of eight, fifteen or sixteen differs, which leaves just enough; and one of seven, which doesn't
+    names += [" ".join(longer + x) for x in ([], ["a"])] + [" ".join(long + x) for x in ([], ["x"], ["y"], ["xy"])] + [" ".join(longer[:6] + x) for x in ([], ["a"])]
+    staged = {}
+
+    def counted(df, name="stage", stage=entities.stage):
+        out = stage(df, name)
+        staged[name] = out.count()
+        return out
+
+    monkeypatch.setattr(entities, "stage", counted)
+    got = {(r.name_a, r.name_b): (r.fuzzy, r.score) for r in entities.scored_pairs(spark.createDataFrame([(n,) for n in names], "name string"), threshold=95).collect()}
+    every = brute_pairs(names)
+    assert got == {p: v for p, v in every.items() if v[1] >= 95}
+    assert len(every) > 5 * len(got) and (" ".join(longer), " ".join(longer + ["a"])) in got and (" ".join(long + ["x"]), " ".join(long + ["y"])) in got
+    assert staged["names"] == 5 * len(some) + 8  # others have no name that they may pair with
+
+
 def test_found_in(spark):
     wanted = spark.createDataFrame([("1", "Acme Inc", None), ("2", "Zed", ["Zed Systems", "Blue"]), ("3", "abc", [])], "id string, name string, aliases array<string>")
     names = spark.createDataFrame([("The Acme of X",), ("blue, llc",), ("abcd",), (None,)], "name string")
